@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerflow.llm import decontaminate, licenses, sharding
+from ledgerflow.llm import byte_pairs, decontaminate, language, licenses, neighbours, personal, quality, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op1_wu_manber_decontamination,
+        personal.op2_candidate_boosting,
         sharding.op3_sampled_splitters,
+        byte_pairs.op5_bitmap_rank_queue,
+        neighbours.op6_block_matrix_join,
         licenses.op7_license_scan,
+        quality.op8_boosted_quality,
+        language.op10_cross_parsing_language,
     )
 }
-ORACLES = {"op1_wu_manber_decontamination": decontaminate.ORACLE_SQL}
+ORACLES = {"op1_wu_manber_decontamination": decontaminate.ORACLE_SQL, "op6_block_matrix_join": neighbours.ORACLE_SQL}
