@@ -306,6 +306,6 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
 def op2_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(X.table(spark, sf_dir, "documents"))
     spell = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in KINDS]
-    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(spell("base"), 256).alias("base_sha256"), spell("all").alias("spans"))
+    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(spell("base"), 256).alias("base_sha256"), spell("all").alias("spans"), (F.size("all") - F.size("base")).cast("long").alias("n_added"))
