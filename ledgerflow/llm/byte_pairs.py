@@ -10,8 +10,9 @@ algorithm of such vocabularies. So a pre-token of n bytes takes O(n log n)
 steps, also where it is a whole text without spaces.
 
 Pre-tokens that are one token by themselves, and those met before by the same
-worker (a memory of at most REMEMBERED pre-tokens, none over SHORT characters),
-need no queue.
+worker (a memory of at most 2 * REMEMBERED pre-tokens, none over SHORT characters),
+need no queue. That memory has two generations: when the younger one is full it
+becomes the older one, and what is met again moves back.
 
 Defined results: null and empty texts have no tokens. Special tokens are
 ordinary text. Repeated documents each get a row. Other columns are not read.
@@ -53,9 +54,12 @@ class Encoder:
                 left, right = self.ranks.get(whole[:k]), self.ranks.get(whole[k:])
                 if left is not None and right is not None:
                     self.merge[left * self.width + right] = rank
+        #: Ranks of the pairs of single bytes; -1 where there is none.
+        self.first = [self.merge.get(a * self.width + b, -1) for a in self.single for b in self.single]
         self.split = regex.compile(pattern).findall
         self.words = [0] * ((self.width >> _SHIFT) + 1)
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -69,29 +73,30 @@ class Encoder:
         rank_at = [-1] * n
         buckets: dict[int, list[int]] = {}
         top = 0
-        left = ids[0]
-        for k in range(1, n):
-            right = ids[k]
-            rank = merge(left * width + right)
-            left = right
-            if rank is not None:
-                rank_at[k - 1] = rank
-                bucket = buckets.get(rank)
-                if bucket:
-                    bucket.append(k - 1)  # positions ascend here, so the list is a heap
+        first, left, at = self.first, data[0] << 8, 0
+        for b in data[1:]:
+            rank = first[left + b]
+            left = b << 8
+            if rank >= 0:
+                rank_at[at] = rank
+                if rank in buckets:
+                    buckets[rank].append(at)  # positions ascend here, so the list is a heap
                 else:
-                    buckets[rank] = [k - 1]
+                    buckets[rank] = [at]
                     w = rank >> _SHIFT
                     words[w] |= 1 << (rank & 255)
                     top |= 1 << w
+            at += 1
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
             low = word & -word
             rank = (w << _SHIFT) + low.bit_length() - 1
             bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket.pop()
                 words[w] = word ^ low
                 if word == low:
                     top ^= 1 << w
@@ -143,10 +148,11 @@ class Encoder:
         for p in self.split(text):
             ids = seen.get(p)
             if ids is None:
-                ids = tuple(self.piece(p.encode("utf-8", "replace")))
+                ids = self.older.get(p) or tuple(self.piece(p.encode("utf-8", "replace")))
                 if len(p) <= SHORT:
                     if len(seen) >= REMEMBERED:
-                        seen.clear()
+                        self.older = seen
+                        seen = self.seen = {}
                     seen[p] = ids
             found.append(ids)
         return list(chain.from_iterable(found))
