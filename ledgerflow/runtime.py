@@ -44,11 +44,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files that cut() wrote for these frames; nothing may read them afterwards."""
-    folder = shared_folder(spark)
-    jvm = spark.sparkContext._jvm
+    """Delete the folders that cut() wrote for these frames; nothing may read them afterwards."""
+    shared = shared_folder(spark).split("://")[-1].strip("/").split("/")[-1]
     for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            if name.startswith(folder.split(":", 1)[-1].lstrip("/").join(["file:///", ""])) or folder.split("://")[-1].strip("/") in name:
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if folder.split("/")[-2] == shared:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
