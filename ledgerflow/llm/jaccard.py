@@ -351,6 +351,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.union(alone)
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The documents without their near duplicates: of each component the row of the least id; of rows equal in all columns one."""
+    row = X.free_name(docs.columns, "row_hash")
+    hashed = F.xxhash64(*(docs[c] for c in docs.columns))
+    found = near_duplicates(docs.select(F.struct(docs[key].alias("id"), hashed.alias("row")).alias("key"), docs[text].alias("text")), "key", "text", percent)
+    stay = cut(found.filter("key <=> component").groupBy("key").agg(F.count("*").alias("many")).select("key.id", "key.row", "many"), "jaccard-stay")
+    marked = docs.withColumn(row, hashed)
+    on = lambda few: (marked[row] == few["row"]) & marked[key].eqNullSafe(few["id"])
+    if stay.filter("many > 1").isEmpty():
+        return marked.join(stay, on(stay), "left_semi").select(*docs.columns)
+    once, again = stay.filter("many = 1"), stay.filter("many > 1")
+    return marked.join(once, on(once), "left_semi").select(*docs.columns).union(marked.join(again, on(again), "left_semi").dropDuplicates([key, row]).select(*docs.columns))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(X.table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
