@@ -47,7 +47,7 @@ LOW = 58
 BINS = 256
 LONG = 2048
 ORDERS = 16
-PIECE = 512
+PIECE = 256
 #: Nodes that are asked for are told apart by so many residues before their sets are dealt out: a bound for what is broadcast.
 RESIDUES = 1 << 20
 
