@@ -76,8 +76,9 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Automaton:
     """The suffix automaton of a sequence of codes, as a table of moves.
 
-    moves[state * width + code] is 2 * (next state) + 1 if a phrase ended
-    before the code was read, 2 * (next state) otherwise.
+    moves[state * width + code] is 4 * (next state) and how many phrases ended:
+    none if the code goes on with the phrase, one if a new phrase begins with it;
+    a code that stands nowhere is a phrase by itself, beside the one it ends.
     """
 
     def __init__(self, codes: list[int], width: int):
@@ -106,18 +107,13 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        root = np.zeros(width, np.int32)
+        table = np.full((len(out), width), 2, np.int32)
+        table[0] = 1
         for c, q in out[0].items():
-            root[c] = q
-        # a code that stands nowhere is a phrase by itself: the state stays at the root
-        table = np.tile(root * 2 + 1, (len(out), 1))
-        table[0] -= 1
-        missing = np.ones(width, bool)
-        missing[list(out[0])] = False
-        table[:, missing] = 1
+            table[1:, c] = 4 * q + 1
         for s, moves in enumerate(out):
             for c, q in moves.items():
-                table[s, c] = 2 * q
+                table[s, c] = 4 * q
         self.moves, self.width = table.ravel(), width
 
 
@@ -164,8 +160,8 @@ class Model:
             for column in columns:
                 many = len(column)
                 move = automaton.moves[state[:many] * automaton.width + column]
-                ended[:many] += move & 1
-                state[:many] = move >> 1
+                ended[:many] += move & 3
+                state[:many] = move >> 2
             out[:, n] = np.bincount(owner, ended + (state > 0), len(size)).astype(np.int64)
         return size, out
 
