@@ -49,7 +49,7 @@ STATE = LOG + """, state AS (
 LIVE = STATE + """, live AS (
   SELECT s.user_pk, s.table_id, s.key_text, l.payload FROM state s JOIN log l USING (user_pk, table_id, key_text, bundle_seq) WHERE NOT s.deleted)"""
 
-HALF = STATE.replace(" FROM events)", " FROM events WHERE event_id < (SELECT max(event_id) // 2 FROM events))")
+HALF = STATE.replace(" FROM events)", " FROM events WHERE event_id < (SELECT (max(event_id) // 1000 + 1) * 500 FROM events))")
 
 LINE = """'{"key":"' || key_text || '","op":"' || CASE op_code WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || '","ordinal":' || CAST(row_ordinal - 1 AS VARCHAR) || ',"payload":' || coalesce(payload, 'null') || ',"table":' || CAST(table_id AS VARCHAR) || '}'"""
 
@@ -65,9 +65,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed's first half: what a follower has seen."""
-    events = table(spark, sf_dir, "events")
-    half = events.agg(F.max("event_id")).first()[0] // 2
-    return feed(spark, sf_dir).filter(F.col("ord") < half)
+    return feed(spark, sf_dir).filter(F.col("ord") < _middle(spark, sf_dir))
+
+
+def _middle(spark: SparkSession, sf_dir: str) -> int:
+    """The first event of the transaction after the middle one: a follower sees whole transactions."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // 1000 + 1) * 500
 
 
 def live(log_rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -77,9 +80,7 @@ def live(log_rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushed rows out of the feed's second half: one for each key and transaction, with base versions of all kinds."""
-    events = table(spark, sf_dir, "events")
-    half = events.agg(F.max("event_id")).first()[0] // 2
-    return feed(spark, sf_dir).filter(F.col("ord") >= half).selectExpr("user_pk", "txid AS push_id", "ord AS req_ordinal", "table_id", "key_text", "op", "ord % 7 AS base_row_version", "payload")
+    return feed(spark, sf_dir).filter(F.col("ord") >= _middle(spark, sf_dir)).selectExpr("user_pk", "txid AS push_id", "ord AS req_ordinal", "table_id", "key_text", "op", "ord % 7 AS base_row_version", "payload")
 
 
 REQUESTS = """requests AS (
@@ -87,7 +88,7 @@ REQUESTS = """requests AS (
     'k' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) AS key_text,
     CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS op, event_id % 7 AS base_row_version,
     CASE WHEN event_type <> 'error' THEN replace(props, ' ', '') END AS payload
-  FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events))"""
+  FROM events WHERE event_id >= (SELECT (max(event_id) // 1000 + 1) * 500 FROM events))"""
 
 VERDICT = """CASE WHEN op = 1 AND version IS NULL THEN CASE WHEN base_row_version = 0 THEN 'ok' ELSE 'version_mismatch' END
   WHEN op = 1 AND NOT deleted THEN CASE WHEN base_row_version = version THEN 'already_exists' ELSE 'version_mismatch' END

@@ -111,7 +111,7 @@ def fresh_commits(spark, d):
 
 _DIRTY = B.HALF + """, edits AS (SELECT user_id % 16 AS user_pk, CAST(1 + event_id % 3 AS INTEGER) AS table_id, 'k' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) AS key_text, event_id AS ord,
   CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS op, CASE WHEN event_type <> 'error' THEN replace(props, ' ', '') END AS payload
-  FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events)), e AS (
+  FROM events WHERE event_id >= (SELECT (max(event_id) // 1000 + 1) * 500 FROM events)), e AS (
   SELECT user_pk, table_id, key_text, min(ord) AS first_ordinal, arg_max(op, ord) AS last_op, arg_max_null(payload, ord) AS payload FROM edits GROUP BY user_pk, table_id, key_text
 ), dirty AS (
   SELECT e.user_pk, e.table_id, e.key_text, CASE WHEN last_op = 3 THEN 3 WHEN s.bundle_seq IS NOT NULL AND NOT s.deleted THEN 2 ELSE 1 END AS op, coalesce(s.bundle_seq, 0) AS base_row_version,
@@ -195,17 +195,16 @@ def existing_rows(spark, d):
 
 for _name in ("src_03_live_rows_json", "src_09_serialize_rows"):
 
-    @query(_name, "SELECT c_custkey, CAST(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_mktsegment', c_mktsegment) AS VARCHAR) AS row_json FROM customer WHERE c_custkey % 16 = 3")
+    @query(_name, "SELECT c_custkey % 16 AS scope_id, c_custkey, CAST(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_mktsegment', c_mktsegment) AS VARCHAR) AS row_json FROM customer")
     def live_rows_json(spark, d):
-        rows = B.table(spark, d, "customer").filter("c_custkey % 16 = 3").select("c_custkey", "c_name", "c_mktsegment")
-        return rows.select("c_custkey", capture.row_json(rows.columns, rows).alias("row_json"))
+        rows = B.table(spark, d, "customer").selectExpr("c_custkey % 16 AS scope_id", "c_custkey", "c_name", "c_mktsegment")
+        return rows.select("scope_id", "c_custkey", capture.row_json(["c_custkey", "c_name", "c_mktsegment"], rows).alias("row_json"))
 
 
 @query(
     "agg_04_status",
     f"""WITH {B.HEADERS}, state AS (SELECT user_pk, table_id, key_text, arg_max(op_code, bundle_seq) = 3 AS deleted FROM log GROUP BY ALL),
-    scopes AS (SELECT user_pk, max(bundle_seq) AS latest, CASE WHEN user_pk % 2 = 0 THEN 2 ELSE 0 END AS floor FROM log GROUP BY user_pk)
-    SELECT CAST(a.* AS BIGINT) FROM (SELECT (SELECT count(*) FROM scopes) AS scopes) a""".split("SELECT CAST(a.*")[0]
+    scopes AS (SELECT user_pk, max(bundle_seq) AS latest, CASE WHEN user_pk % 2 = 0 THEN 2 ELSE 0 END AS floor FROM log GROUP BY user_pk) """
     + """SELECT (SELECT count(*) FROM scopes) AS scopes, (SELECT CAST(max(floor) AS BIGINT) FROM scopes) AS max_floor, (SELECT CAST(max(latest - floor) AS BIGINT) FROM scopes) AS max_retained, (SELECT count(*) FROM scopes WHERE floor > 0) AS pruned_scopes,
     (SELECT count(*) FROM headers) AS bundles, (SELECT CAST(sum(row_count) AS BIGINT) FROM headers) AS effects, (SELECT CAST(sum(byte_count) AS BIGINT) FROM headers) AS bytes, (SELECT min(bundle_seq) FROM headers) AS oldest, (SELECT max(bundle_seq) FROM headers) AS newest,
     (SELECT count(*) FROM state WHERE NOT deleted) AS live_rows, (SELECT count(*) FROM state WHERE deleted) AS tombstones, (SELECT count(*) FROM orders) AS sessions, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS expired_sessions""",

@@ -233,7 +233,7 @@ for _name in ("op_17_replay_reconcile", "joi_14_replay_decision"):
 
     @query(
         _name,
-        f"""WITH {B.LIVE.replace(' FROM events)', ' FROM events WHERE event_id < (SELECT max(event_id) // 2 FROM events))')}, {B.REQUESTS}, {_UPLOADED}, pending AS (SELECT * FROM u WHERE CAST(substr(key_text, 2) AS INTEGER) % 2 = 0),
+        f"""WITH {B.LIVE.replace(' FROM events)', ' FROM events WHERE event_id < (SELECT (max(event_id) // 1000 + 1) * 500 FROM events))')}, {B.REQUESTS}, {_UPLOADED}, pending AS (SELECT * FROM u WHERE CAST(substr(key_text, 2) AS INTEGER) % 2 = 0),
         j AS (SELECT u.*, p.key_text IS NOT NULL AS is_pending, p.payload AS pp, l.key_text IS NOT NULL AS is_live, l.payload AS lp FROM u LEFT JOIN (SELECT user_pk, table_id, key_text, '{{}}' AS payload FROM pending) p USING (user_pk, table_id, key_text) LEFT JOIN live l USING (user_pk, table_id, key_text)),
         q AS (SELECT *, CASE WHEN op = 3 THEN CASE WHEN is_live THEN 1 END WHEN NOT is_live THEN 3 WHEN NOT ((NOT is_pending OR pp IS NOT DISTINCT FROM payload) AND lp IS NOT DISTINCT FROM payload) THEN 2 END AS r FROM j)
         SELECT user_pk, table_id, key_text, CAST(r AS INTEGER) AS op, row_version AS base_row_version, CASE WHEN r <> 3 THEN lp END AS payload FROM q WHERE r IS NOT NULL""",
@@ -247,10 +247,10 @@ for _name in ("op_17_replay_reconcile", "joi_14_replay_decision"):
 
 @query(
     "joi_07_committed_proof",
-    f"WITH {B.LOG}, a AS (SELECT table_id, op_code, key_text, payload, count(*) AS sent FROM log WHERE user_pk < 8 GROUP BY ALL), b AS (SELECT table_id, op_code, key_text, payload, count(*) AS kept FROM log WHERE user_pk < 8 AND bundle_seq <> 2 GROUP BY ALL) SELECT a.table_id, a.op_code, a.key_text, a.payload, sent, coalesce(kept, 0) AS kept FROM a LEFT JOIN b ON a.table_id = b.table_id AND a.op_code = b.op_code AND a.key_text = b.key_text AND a.payload IS NOT DISTINCT FROM b.payload WHERE sent <> coalesce(kept, 0)",
+    f"WITH {B.LOG}, a AS (SELECT table_id, op_code, key_text, payload, count(*) AS sent FROM log GROUP BY ALL), b AS (SELECT table_id, op_code, key_text, payload, count(*) AS kept FROM log WHERE bundle_seq <> 2 GROUP BY ALL) SELECT a.table_id, a.op_code, a.key_text, a.payload, sent, coalesce(kept, 0) AS kept FROM a LEFT JOIN b ON a.table_id = b.table_id AND a.op_code = b.op_code AND a.key_text = b.key_text AND a.payload IS NOT DISTINCT FROM b.payload WHERE sent <> coalesce(kept, 0)",
 )
 def committed_proof(spark, d):
-    log = B.log(spark, d).filter("user_pk < 8")
+    log = B.log(spark, d)
     return tables.compare_proof(log, log.filter("bundle_seq <> 2"), ["table_id", "op_code", "key_text", "payload"])
 
 
