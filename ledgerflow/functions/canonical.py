@@ -39,7 +39,7 @@ def number(value: float) -> str:
         return minus + (text + "0" * (point - len(text)) if point >= len(text) else f"{text[:point]}.{text[point:]}")
     power = point - 1
     mantissa = text[0] + (f".{text[1:]}" if len(text) > 1 else "")
-    return f"{minus}{mantissa}e{'-' if power < 0 else '+'}{abs(power):02d}"
+    return f"{minus}{mantissa}e{'-' if power < 0 else '+'}{abs(power)}"
 
 
 def render(value) -> str:

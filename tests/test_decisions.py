@@ -254,7 +254,7 @@ def test_specs():
 @pytest.mark.parametrize(
     "text, want",
     [
-        ('{"b":1,"a":2}', '{"a":2,"b":1}'), ("1e21", "1e+21"), ("100000000000000000000", "100000000000000000000"), ("9007199254740993", "9007199254740992"), ("0.000001", "0.000001"), ("0.0000001", "1e-07"),
+        ('{"b":1,"a":2}', '{"a":2,"b":1}'), ("1e21", "1e+21"), ("100000000000000000000", "100000000000000000000"), ("9007199254740993", "9007199254740992"), ("0.000001", "0.000001"), ("0.0000001", "1e-7"),
         ("1.50", "1.5"), ("-0.0", "-0"), ('"<&> é\\u0001"', '"\\u003c\\u0026\\u003e\\u2028é\\u0001"'), ('{"a":1,"a":2}', '{"a":2}'), ("[true,null,{}]", "[true,null,{}]"), ("nope", None),
     ],
 )
