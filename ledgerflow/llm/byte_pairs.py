@@ -221,6 +221,14 @@ def append_ids(docs: DataFrame, path: str | None = None, pattern: str | None = N
     schema = X.fields(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} array<int>"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            # other stages follow in the same workers
+            _encoders.clear()
+            X.settle()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held)
         for batch in X.slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()

@@ -47,6 +47,8 @@ LOW = 58
 BINS = 256
 LONG = 2048
 ORDERS = 16
+#: Bytes of text that are turned into shingles at once.
+SLICE = 1 << 20
 PIECE = 256
 #: Nodes that are asked for are told apart by so many residues before their sets are dealt out: a bound for what is broadcast.
 RESIDUES = 1 << 20
@@ -100,7 +102,7 @@ def count_classes(source: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(BUCKETS, np.int64), set()
-        for batch in X.slices(batches, "text"):
+        for batch in X.slices(batches, "text", SLICE):
             text, gram, n = shingles(batch.column(0))
             first = np.searchsorted(text, np.arange(n + 1))
             fresh = _unseen(_nodes(gram, first), np.diff(first) > 0, seen)
@@ -134,7 +136,7 @@ def describe(source: DataFrame, classes: np.ndarray, num: int, den: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = held.value.astype(np.uint64) << np.uint64(LOW), set()
-        for batch in X.slices(batches, "text"):
+        for batch in X.slices(batches, "text", SLICE):
             text, gram, n = shingles(batch.column(1))
             first = np.searchsorted(text, np.arange(n + 1))
             size = np.diff(first)
