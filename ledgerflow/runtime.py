@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Arrow batches hold few rows, as rows can be long texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give this package to the executors, once per application."""
+    """Give this package to the executors, once per application, and keep Arrow batches small unless they are set."""
     context = spark.sparkContext
+    for name, small in BATCHES.items():
+        # without a value of its own the session gives the one asked with
+        if spark.conf.get(name, small) == small:
+            spark.conf.set(name, small)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp()) / "ledgerflow.zip"
