@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from ledgerflow.queries import codecs, core, pushes, reads, streams, structure  # noqa: E402, F401
+from ledgerflow.queries import codecs, core, pushes, reads, services, streams, structure  # noqa: E402, F401
