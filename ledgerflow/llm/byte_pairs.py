@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerflow.llm import text as X
 
 REMEMBERED, SHORT = 400_000, 64
+#: The same where other work shares the executors' memory.
+REMEMBERED_IN_STAGES = 100_000
 #: A vocabulary file of more bytes is refused: it goes to every executor whole.
 LARGEST_FILE = 256 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,7 +42,8 @@ _SHIFT = 8
 
 
 class Encoder:
-    def __init__(self, file: bytes, pattern: str):
+    def __init__(self, file: bytes, pattern: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         self.ranks: dict[bytes, int] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines()) if a}
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
@@ -150,7 +153,7 @@ class Encoder:
             if ids is None:
                 ids = self.older.get(p) or tuple(self.piece(p.encode("utf-8", "replace")))
                 if len(p) <= SHORT:
-                    if len(seen) >= REMEMBERED:
+                    if len(seen) >= self.remembered:
                         self.older = seen
                         seen = self.seen = {}
                     seen[p] = ids
@@ -172,11 +175,11 @@ def read_vocabulary(path: str) -> bytes:
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(held) -> Encoder:
+def _encoder(held, remembered: int | None = None) -> Encoder:
     """One encoder for each broadcast vocabulary in a worker; the last one only."""
     if held.id not in _encoders:
         _encoders.clear()
-        _encoders[held.id] = Encoder(*held.value)
+        _encoders[held.id] = Encoder(*held.value, remembered)
     return _encoders[held.id]
 
 
@@ -229,7 +232,7 @@ def append_ids(docs: DataFrame, path: str | None = None, pattern: str | None = N
             X.settle()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held)
+        encoder = _encoder(held, REMEMBERED_IN_STAGES)
         for batch in X.slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids = [encoder.encode(t) if t else [] for t in texts]

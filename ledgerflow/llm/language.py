@@ -18,7 +18,7 @@ table is; predictions read whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0.
 Rows without a language or doc_id are not learned from. Without any learned
-language every text is `und`. Ties go to the language first in order. Of
+language every text is `und`, and a filter keeps all that have letters. Ties go to the language first in order. Of
 repeated doc_ids the least text is learned. Other columns are not read.
 """
 
@@ -170,7 +170,7 @@ class Model:
         size, phrases = self.phrases(texts)
         folded_letters = size > 0
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.where(folded_letters, 0.0, np.inf)
         need = phrases * self.norm
         best = need.argmin(axis=1)
         rows = np.arange(len(texts))

@@ -244,7 +244,8 @@ def test_tokens_are_those_of_the_library(spark, odd, encoder):
 
 
 def test_memory_of_tokens(encoder, monkeypatch):
-    monkeypatch.setattr(byte_pairs, "REMEMBERED", 3)
+    monkeypatch.setattr(encoder, "remembered", 3)
+    encoder.seen.clear()
     text = " ".join(f"w{k % 11}x" for k in range(200))
     assert encoder.decode(encoder.encode(text)) == text.encode() and len(encoder.seen) <= 3
 
@@ -463,6 +464,7 @@ def test_language(spark, sf_dir, odd, empty):
     assert len(kept) == spark.read.parquet(f"{path}/documents.parquet").count()
     assert 7 not in {x["doc_id"] for x in language.keep_written(odd, model).collect()}
     unknown = language.fit(empty)
+    assert {x["doc_id"] for x in language.keep_written(odd, unknown).collect()} == {1, 5, 6, 7, 8, 9, None}
     assert {x["lang_pred"] for x in language.identify(odd, unknown).collect()} == {"und"} and language.identify(empty, model).count() == 0
 
 
