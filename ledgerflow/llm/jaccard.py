@@ -125,9 +125,13 @@ def _packed(gram: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def _opened(data: bytes, n: int, width: int) -> np.ndarray:
+    """The packed hashes, ascending; those that are the same in so many bytes once."""
     raw = np.zeros((n, 8), np.uint8)
     raw[:, :width] = np.frombuffer(data, np.uint8).reshape(n, -1)[:, :width]
-    return raw.view(np.uint64).ravel().byteswap()
+    sorted_ = raw.view(np.uint64).ravel().byteswap()
+    new = np.ones(n, bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return sorted_[new]
 
 
 def describe(source: DataFrame, classes: np.ndarray, num: int, den: int) -> DataFrame:
