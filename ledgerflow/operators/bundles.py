@@ -87,8 +87,12 @@ def advance(state: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def bundle(events: DataFrame) -> DataFrame:
-    """The numbered log of an event feed."""
-    return number(net(fold(events)))
+    """The numbered log of an event feed.
+
+    Events are dealt once by transaction, which is bounded in size; the fold,
+    the row ordinals and the join with the commit numbers all keep to that.
+    """
+    return number(net(fold(events.repartition("user_pk", "txid"))))
 
 
 def committed(log: DataFrame) -> DataFrame:
