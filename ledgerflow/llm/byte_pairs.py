@@ -41,6 +41,22 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _SHIFT = 8
 
 
+class _Memory(dict):
+    """Tokens of pre-tokens, in two generations; those of a pre-token that is not there are made."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or tuple(self.encoder.piece(piece.encode("utf-8", "replace")))
+        if len(piece) <= SHORT:
+            if len(self) >= self.encoder.remembered:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, file: bytes, pattern: str, remembered: int | None = None):
         self.remembered = remembered or REMEMBERED
@@ -61,8 +77,7 @@ class Encoder:
         self.first = [self.merge.get(a * self.width + b, -1) for a in self.single for b in self.single]
         self.split = regex.compile(pattern).findall
         self.words = [0] * ((self.width >> _SHIFT) + 1)
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.seen = _Memory(self)
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one pre-token."""
@@ -146,19 +161,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        seen = self.seen
-        found = []
-        for p in self.split(text):
-            ids = seen.get(p)
-            if ids is None:
-                ids = self.older.get(p) or tuple(self.piece(p.encode("utf-8", "replace")))
-                if len(p) <= SHORT:
-                    if len(seen) >= self.remembered:
-                        self.older = seen
-                        seen = self.seen = {}
-                    seen[p] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.seen.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -23,4 +23,5 @@ ORACLES = {
     "op1_wu_manber_decontamination": decontaminate.ORACLE_SQL,
     "op4_stupid_backoff": scoring.ORACLE_SQL,
     "op6_block_matrix_join": neighbours.ORACLE_SQL,
+    "op9_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
