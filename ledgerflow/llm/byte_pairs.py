@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerflow.llm import text as X
 
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 600_000, 64
 #: The same where other work shares the executors' memory.
 REMEMBERED_IN_STAGES = 100_000
 #: A vocabulary file of more bytes is refused: it goes to every executor whole.
