@@ -9,7 +9,14 @@ letters (a phrase ends at a lane's end), and a state's row in the transition
 table already holds the restart after a phrase.
 
 Letters are folded to lower case; runs of everything else are one separator.
-Letters outside the ALPHABET most frequent ones of the samples share a code.
+Every letter of the samples has its own code. In each automaton the ALPHABET most
+frequent letters of its language have a column in the table, and moves by the
+others are looked up in a sorted list. Letters that no sample holds match
+nothing, so each is a phrase.
+
+Languages of many letters need more phrases for their own texts too. So a
+language's limit for foreign texts is FOREIGN, or SPREAD times what the second
+half of its sample needs over the first, if that is more.
 
 The sample: for each language and each of BUCKETS hash buckets of doc_id the
 document of the least hash, and of those the first PIECE folded letters each.
@@ -34,10 +41,12 @@ from ledgerflow.llm import text as X
 
 BUCKETS, PIECE = 48, 400
 LANE = 512
+#: Letters of a language that have a column in its table.
 ALPHABET = 94
 UNKNOWN = "und"
 #: Phrases after the first per letter, in the best language, from which a text counts as written in none of them.
 FOREIGN = 0.55
+SPREAD = 1.25
 
 
 def _fold_table() -> np.ndarray:
@@ -74,14 +83,24 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """The suffix automaton of a sequence of codes, as a table of moves.
+    """The suffix automaton of a sequence of codes, as moves from state to state.
 
-    moves[state * width + code] is 4 * (next state) and how many phrases ended:
-    none if the code goes on with the phrase, one if a new phrase begins with it;
-    a code that stands nowhere is a phrase by itself, beside the one it ends.
+    A move is 4 * (next state) and how many phrases ended: none if the code goes
+    on with the phrase, one if a new phrase begins with it; a code that stands
+    nowhere is a phrase by itself, beside the one it ends. moves[state * width +
+    column] has those of the frequent codes; keys and targets have those of the
+    others that go on with a phrase, and restart those that begin one.
     """
 
-    def __init__(self, codes: list[int], width: int):
+    def __init__(self, sequence: np.ndarray, many: int):
+        own, counts = np.unique(sequence[sequence > 1], return_counts=True)
+        own = own[np.lexsort((own, -counts))]
+        #: The column of each of `many` codes; 0 separator, 1 codes that stand nowhere.
+        self.column = np.ones(many, np.int64)
+        self.column[0] = 0
+        self.column[own] = np.arange(len(own)) + 2
+        self.width, self.span = min(len(own), ALPHABET) + 2, len(own) + 2
+        codes = self.column[sequence].tolist()
         link, size, out = [-1], [0], [{}]
         last = 0
         for c in codes:
@@ -107,26 +126,44 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        table = np.full((len(out), width), 2, np.int32)
+        table = np.full((len(out), self.width), 2, np.int32)
         table[0] = 1
         for c, q in out[0].items():
-            table[1:, c] = 4 * q + 1
+            if c < self.width:
+                table[1:, c] = 4 * q + 1
+        far = []
         for s, moves in enumerate(out):
             for c, q in moves.items():
-                table[s, c] = 4 * q
-        self.moves, self.width = table.ravel(), width
+                if c < self.width:
+                    table[s, c] = 4 * q
+                else:
+                    far.append((s * self.span + c, 4 * q))
+        self.moves = table.ravel()
+        self.keys, self.targets = np.array(sorted(far), np.int64).reshape(-1, 2).T.copy()
+        self.restart = np.array([4 * out[0][c] + 1 for c in range(self.width, self.span)], np.int64)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        column = self.column[codes]
+        if not len(self.keys):
+            return self.moves[state * self.width + column]
+        move = self.moves[state * self.width + np.minimum(column, self.width - 1)].astype(np.int64)
+        far = np.flatnonzero(column >= self.width)
+        wanted = state[far] * self.span + column[far]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        move[far] = np.where(self.keys[at] == wanted, self.targets[at], self.restart[column[far] - self.width])
+        return move
 
 
 class Model:
     def __init__(self, samples: dict[str, np.ndarray]):
         every = np.concatenate([*samples.values(), np.zeros(0, np.uint32)])
-        values, counts = np.unique(every[every > 0], return_counts=True)
-        kept = values[np.lexsort((values, -counts))][:ALPHABET]
-        #: 0 separator, 1 any other letter.
-        self.known = np.sort(kept)
-        self.width = len(kept) + 2
+        #: Codes: 0 separator, 1 any letter that no sample holds, then these.
+        self.known = np.unique(every[every > 0])
         self.languages = sorted(samples)
-        self.automata = [Automaton(self.codes(samples[k]).tolist(), self.width) for k in self.languages]
+        own = [self.codes(samples[k]) for k in self.languages]
+        self.automata = [Automaton(codes, len(self.known) + 2) for codes in own]
+        #: The most phrases per letter of a text in each language, if that is over FOREIGN.
+        self.limits = {k: self.limit(codes) for k, codes in zip(self.languages, own)}
         # an unrelated text of n letters over a sample of N has about n / log N phrases
         self.norm = np.array([np.log(max(len(samples[k]), 2)) for k in self.languages])
         self.norm = self.norm / self.norm.max() if len(self.norm) else self.norm
@@ -137,6 +174,20 @@ class Model:
         at = np.minimum(np.searchsorted(self.known, folded), len(self.known) - 1)
         return np.where(folded == 0, 0, np.where(self.known[at] == folded, at + 2, 1))
 
+    def limit(self, codes: np.ndarray) -> float:
+        """SPREAD times the phrases per letter that the second half needs over the first, brought to the size of the whole."""
+        half = len(codes) // 2
+        lanes = (len(codes) - half) // PIECE
+        if half < 2 or not lanes:
+            return FOREIGN
+        automaton = Automaton(codes[:half], len(self.known) + 2)
+        state, ended = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        for column in codes[half : half + lanes * PIECE].reshape(lanes, PIECE).T:
+            move = automaton.step(state, column)
+            ended += move & 3
+            state = move.astype(np.int64) >> 2
+        return max(FOREIGN, SPREAD * float(np.median(ended)) / PIECE * float(np.log(half) / np.log(len(codes))))
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Letters per text, and phrases per text and language."""
         folded, at = letters(texts)
@@ -159,7 +210,7 @@ class Model:
             ended = np.zeros(len(owner), np.int64)
             for column in columns:
                 many = len(column)
-                move = automaton.moves[state[:many] * automaton.width + column]
+                move = automaton.step(state[:many], column)
                 ended[:many] += move & 3
                 state[:many] = move >> 2
             out[:, n] = np.bincount(owner, ended + (state > 0), len(size)).astype(np.int64)
@@ -214,13 +265,14 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_written(docs: DataFrame, model: Model, text: str = "text", foreign: float = FOREIGN) -> DataFrame:
-    """The documents written in a learned language; texts without letters go, and those that need more than `foreign` phrases per letter."""
+    """The documents written in a learned language; texts without letters go, and those that need more than `foreign` phrases per letter, or than the language's own limit if that is higher."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, text):
-            _, _, rate = held.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield batch.filter(pa.array(rate <= foreign))
+            names, _, rate = held.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            limit = np.array([max(foreign, held.value.limits.get(k, foreign)) for k in names])
+            yield batch.filter(pa.array(rate <= limit))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -468,6 +468,34 @@ def test_language(spark, sf_dir, odd, empty):
     assert {x["lang_pred"] for x in language.identify(odd, unknown).collect()} == {"und"} and language.identify(empty, model).count() == 0
 
 
+def test_letters_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(language, "LANE", 64)
+    r = random.Random(9)
+    samples = {"han": np.array([0 if r.random() < 0.1 else 0x4E00 + int(300 * r.random() ** 2) for _ in range(3000)], np.uint32), "x": np.array([ord(r.choice("abc ")) for _ in range(300)], np.uint32)}
+    samples["x"][samples["x"] == 32] = 0
+    model = language.Model(samples)
+    texts = ["".join(r.choice(["a", "b", " ", chr(0x4E00 + r.randrange(330)), "д"]) for _ in range(100)) for _ in range(20)] + ["".join(map(chr, samples["han"][50:400])).replace("\0", " ")]
+    _, got = model.phrases(texts)
+    for k, t in enumerate(texts):
+        codes = model.codes(language.letters([t])[0]).tolist()
+        assert got[k].tolist() == [plain_phrases(model.codes(samples[x]).tolist(), codes, 64) for x in ("han", "x")]
+
+
+def test_scripts_that_were_not_learned(spark):
+    r = random.Random(10)
+    vocabulary = lambda first, many, size, n=800: ["".join(chr(first + r.randrange(many)) for _ in range(r.randint(*size))) for _ in range(n)]
+    han, latin = vocabulary(0x4E00, 1800, (1, 3)), vocabulary(97, 26, (2, 8))
+    write = lambda v, sign, n=400: sign.join(v[int(len(v) * r.random() ** 2)] for _ in range(n))
+    rows = [(k, write(han, ""), "han") for k in range(60)] + [(100 + k, write(latin, " "), "latin") for k in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [write(han, ""), write(latin, " ")]
+    other = [write(vocabulary(first, many, (2, 8)), " ") for first, many in ((0x430, 32), (0xE01, 46), (0x627, 20), (0x6E00, 1800))]
+    names, _, _ = model.predict(new)
+    assert names == ["han", "latin"]
+    texts = spark.createDataFrame(list(enumerate(new + other)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in language.keep_written(texts, model).collect()) == [0, 1]
+
+
 # --- queries and pipeline ------------------------------------------------------------------------------------------
 
 
