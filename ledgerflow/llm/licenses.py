@@ -4,7 +4,8 @@ Texts are turned into one line of lower-case words with single spaces. An
 Aho-Corasick automaton finds notice phrases and the tag "SPDX-License-
 Identifier" in it. The expressions that stand behind such tags are parsed by a
 shunting-yard parser (WITH binds more than AND, AND more than OR) and evaluated
-against the set of accepted licences.
+against the set of accepted licences. An expression reaches to the end of its
+line or the first other character, however long it is.
 
 Defined results: null and empty texts have no words, labels or tags and score
 0. A malformed expression still gives the labels of its identifiers, and counts
@@ -46,7 +47,7 @@ FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "m
 ACCEPTED = frozenset({"apache", "mit", "bsd", "isc", "cc0", "cc-by", "public-domain", "zlib"})
 
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([A-Za-z0-9.+() \t-]{1,400})", re.IGNORECASE)
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([A-Za-z0-9.+() \t-]+)", re.IGNORECASE)
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -108,7 +109,11 @@ def evaluate(expression: str, accepted: frozenset[str] = ACCEPTED) -> tuple[set[
         if token in _BINDS and len(stack) >= 2:
             (right, fine_right), (left, fine) = stack.pop(), stack.pop()
             # an exception grants more than the licence alone and is none itself
-            stack.append((left, fine) if token == "with" else (left | right, fine and fine_right if token == "and" else fine or fine_right))
+            if token != "with":
+                # the smaller set goes into the larger one, so long expressions take linear time but for a logarithm
+                left, right = (left, right) if len(left) >= len(right) else (right, left)
+                left |= right
+            stack.append((left, fine) if token == "with" else (left, fine and fine_right if token == "and" else fine or fine_right))
         else:
             name = family(token)
             stack.append(({name}, name in accepted))

@@ -324,6 +324,22 @@ def test_tags(spark):
     assert (got["labels"], got["accepted"], got["score"], got["expressions"]) == (["apache", "gpl", "mit"], True, 1.0, ["(MIT OR GPL-2.0-only) AND Apache-2.0"])
 
 
+def test_long_tags(spark):
+    import time
+
+    long = " AND ".join(["BSD-3-Clause"] * 400 + ["MIT", "GPL-3.0-only"])
+    nested = "(MIT AND " * 20_000 + "ISC" + ")" * 20_000
+    many = " OR ".join(f"x{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, f"# SPDX-License-Identifier: {long}\ncode"), (2, f"SPDX-License-Identifier: {nested}"), (3, "SPDX-License-Identifier:" + " " * 100_000)], "doc_id long, text string")
+    got = {x["key"]: x for x in licenses.scan_licenses(docs).collect()}
+    assert (got[1]["expressions"], got[1]["labels"], got[1]["accepted"]) == ([long], ["bsd", "gpl", "mit"], False)
+    assert (got[2]["expressions"], got[2]["labels"], got[2]["accepted"]) == ([nested], ["isc", "mit"], True)
+    began = time.time()
+    assert licenses.evaluate(many) == ({f"x{k}" for k in range(40_000)}, False)
+    assert licenses.evaluate(" AND (".join(["MIT", *(f"x{k}" for k in range(40_000))]) + ")" * 40_000)[1] is False
+    assert time.time() - began < 5
+
+
 # --- 8 quality -----------------------------------------------------------------------------------------------------
 
 
