@@ -2,8 +2,8 @@
 
 The base rules (e-mail, IP address, card and telephone number) always stand.
 High-recall generators propose further spans, overlapping ones too: numbers in
-telephone shapes without a plus, obfuscated e-mail addresses, hosts without a
-dot, card-like numbers with other separators, IPv6-like groups. Boosted trees
+telephone shapes without a plus, obfuscated e-mail addresses, addresses at hosts
+without a dot, card-like numbers with other separators, IPv6-like groups. Boosted trees
 score each by its format and its context; the threshold of a kind is calibrated
 on held-out examples to the precision ASKED. Of the chosen spans the best scored
 ones that overlap neither a base span nor each other are added.
@@ -14,13 +14,15 @@ seeded generator writes; so nothing here depends on the data.
 Positions are code points, ends exclusive. Defined results: null and empty
 texts have no spans. Repeated documents each get a row. Other columns are not
 read. A text of any length is scanned in linear time: numbers are first cut
-into runs, and e-mail addresses are expanded from their `@`.
+into runs, e-mail addresses are expanded from their `@`, and groups from a pair
+of colons.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerflow.llm import boosting, text as X
 
 KINDS = ("email", "ip", "card", "phone")
+#: Groups of spans that trees of their own choose among.
+FURTHER = ("groups", "host")
 ASKED = 0.99
 
 #: Every match of the numeric rules lies in such a run.
@@ -96,6 +100,57 @@ _SHAPES = [
 _HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 
 
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*+)(?![A-Za-z0-9@]|\.[A-Za-z0-9-])")
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_HEX = frozenset("0123456789ABCDEFabcdef:")
+
+
+def dotless(text: str) -> Iterator[Span]:
+    """Addresses at a host without a dot; of a chain of them the last one."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield "email", start, host.end()
+        free = at + 1
+        at = text.find("@", free)
+
+
+def hex_groups(text: str) -> Iterator[Span]:
+    """Runs of hexadecimal groups and colons with two colons at least, without groups that are cut from a word before."""
+    m = _COLONS.search(text)
+    while m:
+        start, end = m.span()
+        while start > 0 and text[start - 1] in _HEX:
+            start -= 1
+        while end < len(text) and text[end] in _HEX:
+            end += 1
+        after = end
+        if start > 0 and text[start - 1].isalnum():
+            start = text.index(":", start) + 1
+        elif text[start] == ":" and text[start + 1] != ":":
+            start += 1
+        if text[end - 1] == ":" and text[end - 2] != ":":
+            end -= 1
+        if text.count(":", start, end) >= 2:
+            yield "ip", start, end
+        m = _COLONS.search(text, after)
+
+
+def groups_fit(body: str) -> bool:
+    """Whether it is an IPv6 address in hexadecimal groups."""
+    if len(body) > 39 or body.count("::") > 1 or ":::" in body:
+        return False
+    groups = body.split(":")
+    if "::" in body:
+        named = [g for g in groups if g]
+        return 1 <= len(named) <= 7 and all(len(g) <= 4 for g in named) and (groups[0] != "" or body.startswith("::")) and (groups[-1] != "" or body.endswith("::"))
+    return len(groups) == 8 and all(1 <= len(g) <= 4 for g in groups)
+
+
 def proposals(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     """High-recall candidates of every kind; they may overlap."""
     found: set[Span] = set()
@@ -106,6 +161,8 @@ def proposals(text: str, runs: list[tuple[int, int]]) -> list[Span]:
                     found.add((kind, *m.span()))
     if "[at]" in text or "(at)" in text or "[AT]" in text or "(AT)" in text:
         found.update(("email", *m.span()) for m in _HIDDEN.finditer(text))
+    found.update(dotless(text))
+    found.update(hex_groups(text))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -117,6 +174,9 @@ _HINTS = {
     "email": ("mail", "contact", "write", "reach", "@"),
     "other": ("version", "isbn", "order", "invoice", "id", "no.", "page", "build", "release", "ref", "ticket", "#", "=", "section", "v"),
 }
+#: Hosts without a dot, and words behind an `@` that name none.
+_HOSTS = ("localhost", "localdomain", "mailhost", "mail", "intranet", "gateway", "server", "router", "host", "exchange", "smtp", "nas", "workstation", "laptop", "desktop", "web", "db", "node")
+_NO_HOSTS = ("latest", "next", "beta", "alpha", "canary", "stable", "main", "master", "head", "staticmethod", "property", "override", "home", "work", "the", "gmail")
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -138,6 +198,25 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def further_features(text: str, span: Span) -> list[float]:
+    """As features(), with what tells hosts without a dot and hexadecimal groups."""
+    kind, start, end = span
+    body, before = text[start:end], text[max(0, start - 1) : start]
+    local, _, host = body.partition("@")
+    host = host.lower()
+    fit = kind == "ip" and groups_fit(body)
+    return features(text, span) + [
+        float(body.count(":")), float(fit), float(sum(map(bool, body.split(":"))) if fit else 0), float("::" in body), float(before in ("[", "(")),
+        float("@" in body), float(len(local) if host else 0), float(len(host)), float(host[:1].isdigit()), float(host.isdigit()), float(any(w.rstrip("0123456789") in _HOSTS for w in host.split("-"))), float(host in _NO_HOSTS), float(any(c.isalpha() for c in local) if host else 0),
+    ]
+
+
+def group(span: Span, text: str) -> str:
+    """What a span's threshold goes by: its kind, or that it is of hexadecimal groups or has a host without a dot."""
+    kind, start, end = span
+    return "groups" if kind == "ip" and text.find(":", start, end) >= 0 else "host" if kind == "email" and text.find("@", start, end) >= 0 else kind
+
+
 def examples(seed: int, n: int) -> list[tuple[str, Span, int]]:
     """Texts, a candidate each, and whether it is personal data, written by a seeded generator."""
     r = random.Random(seed)
@@ -196,30 +275,87 @@ def examples(seed: int, n: int) -> list[tuple[str, Span, int]]:
     return out
 
 
+def further(seed: int, n: int) -> list[tuple[str, Span, int]]:
+    """As examples(): addresses at hosts without a dot, IPv6 addresses, and what looks like them."""
+    r = random.Random(seed)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    hexes = lambda least=1: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(least, 4)))
+
+    def address() -> str:
+        """An IPv6 address, with or without a run of zeros left out."""
+        first = r.choice(["2001", "2a02", "2600", "fe80", "fd00", hexes(3)])
+        if r.random() < 0.3:
+            return ":".join([first, *(hexes() for _ in range(7))])
+        if r.random() < 0.1:
+            return f"::{r.choice([1, hexes()])}"
+        head, tail = [first, *(hexes() for _ in range(r.randint(0, 3)))], [hexes() for _ in range(r.randint(0, 3))]
+        return f"{':'.join(head)}::{':'.join(tail)}"
+
+    out = []
+    while len(out) < n:
+        case = r.randrange(8)
+        lead = " ".join(word() for _ in range(r.randint(1, 4)))
+        joint, tail, y = " ", r.choice([" ", ".", ",", ";", ")", "\n"]) + word(), 0
+        if case in (0, 1):
+            s, kind, y = address(), "ip", 1
+            lead += r.choice([f" {r.choice(_HINTS['ip'])}", f" {r.choice(_HINTS['ip'])}:", "", ""])
+            joint, tail = r.choice([(" ", tail), (" ", tail), ("[", "]:" + digits(4)), (" ", "/64 " + word()), (" (", ") " + word()), ("=", tail), (" ", "%eth0")])
+            if s.startswith("::"):
+                lead, joint, tail = f"{lead} {r.choice(_HINTS['ip'])}", " ", " " + word()
+        elif case == 2:
+            s, kind = r.choice(["{}:{}:{}", "{}:{}:{}:{}"]).format(*(f"{r.randint(0, 59):02d}" for _ in range(4))), "ip"
+            lead += r.choice(["", " at", f" {r.choice(_HINTS['other'])}", f" {r.choice(_HINTS['ip'])}"])
+        elif case == 3:
+            s, kind = ":".join(f"{r.randrange(256):02x}" for _ in range(r.choice([6, 6, 16, 20]))), "ip"
+            lead += r.choice(["", f" {r.choice(_HINTS['ip'])}", f" {r.choice(_HINTS['other'])}"])
+        elif case == 4:
+            s, kind = r.choice([f"::{r.randint(1, 9)}", f"{r.randint(0, 99)}::{r.randint(1, 9)}", "::", f"{r.randint(0, 9)}:{r.randint(0, 99)}:{r.randint(1, 9)}"]), "ip"
+            joint, tail = r.choice([("[", "]"), ("[", "]"), (" ", " " + word())]) if s != "::" else (" ", " " + word())
+        elif case == 5:
+            # words in hexadecimal letters on both sides of colons, and too many or too long groups
+            s, kind = r.choice([f"{r.choice(['add', 'face', 'bed', 'a', 'dead', 'cafe', 'b', 'fade'])}::{r.choice(['add', 'bad', 'feed', 'c', 'decade', 'beef'])}", ":".join(hexes() for _ in range(r.choice([3, 4, 5, 7, 9, 12]))), ":".join([hexes(), digits(6), hexes()])]), "ip"
+        elif case == 6:
+            name = r.choice([word(), f"{word()}.{word()}", f"{word()}{r.randint(1, 99)}", "root", "admin", "postmaster"])
+            s, kind, y = f"{name}@{r.choice(_HOSTS)}{r.choice(['', '', digits(1), '-' + digits(2)])}", "email", 1
+            lead += r.choice([f" {r.choice(_HINTS['email'][:4])}", f" {r.choice(_HINTS['email'][:4])}:", "", " to", " from"])
+            joint, tail = r.choice([(" ", tail), (" ", tail), (" <", "> " + word()), (" ", ":~$ " + word())])
+            if r.random() < 0.3:
+                # a host of any name, where the words before speak of mail
+                s, lead = f"{name}@{word()}{r.choice(['', digits(1)])}", f"{lead} {r.choice(_HINTS['email'][:4])}{r.choice(['', ':', ' to', ' me at'])}"
+        else:
+            s, kind = r.choice([f"{word()}@{r.choice(_NO_HOSTS)}", f"{word()}@{digits(r.randint(1, 3))}", f"{digits(2)}@{digits(2)}", f"{digits(2)}@{word()}", f".@{word()}", f"{word()}@{r.choice('ABCWX')}", f"{r.choice('ABCWX')}@{r.choice('ABCWX')}", f"{word()}@{word()}"]), "email"
+            lead += r.choice(["", f" {r.choice(_HINTS['other'])}"])
+        start = len(lead) + len(joint)
+        out.append((lead + joint + s + tail, (kind, start, start + len(s)), y))
+    return out
+
+
 @cache
-def model(rows: int = 6000) -> tuple[boosting.Trees, dict[str, float]]:
-    """The trees, and for each kind the least threshold whose held-out precision is ASKED."""
-    known = examples(11, rows)
-    x, y = np.array([features(t, s) for t, s, _ in known]), np.array([float(v) for *_, v in known])
-    trees = boosting.train(x, y, rounds=50, depth=4)
-    held = examples(12, rows // 2)
-    x, y = np.array([features(t, s) for t, s, _ in held]), np.array([v for *_, v in held])
-    p = trees.predict(x)
-    limits = {}
-    for kind in KINDS:
-        own = np.array([s[0] == kind for _, s, _ in held])
-        order = np.argsort(-p[own], kind="stable")
-        good = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        fine = np.flatnonzero(good >= ASKED)
-        limits[kind] = max(0.5, float(p[own][order][fine[-1]])) if len(fine) and y[own].any() else 2.0
-    return trees, limits
-
-
-def find(texts: list[str | None], trees: boosting.Trees, limits: dict[str, float]) -> list[tuple[list[Span], list[Span]]]:
+def model(rows: int = 6000) -> tuple[tuple[boosting.Trees, boosting.Trees], dict[str, float]]:
+    """The trees of the numbers and obfuscated addresses and those of FURTHER, and for each group the least threshold whose held-out precision is ASKED."""
+    trees, limits = [], {}
+    for written, described, groups, seed in ((examples, features, KINDS, 11), (further, further_features, FURTHER, 13)):
+        known = written(seed, rows)
+        x, y = np.array([described(t, s) for t, s, _ in known]), np.array([float(v) for *_, v in known])
+        trees.append(boosting.train(x, y, rounds=50, depth=4))
+        held = written(seed + 1, rows // 2)
+        x, y = np.array([described(t, s) for t, s, _ in held]), np.array([v for *_, v in held])
+        p = trees[-1].predict(x)
+        for name in groups:
+            own = np.array([group(s, t) == name for t, s, _ in held])
+            order = np.argsort(-p[own], kind="stable")
+            good = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
+            fine = np.flatnonzero(good >= ASKED)
+            limits[name] = max(0.5, float(p[own][order][fine[-1]])) if len(fine) and y[own].any() else 2.0
+    return (trees[0], trees[1]), limits
+
+
+def find(texts: list[str | None], trees: tuple[boosting.Trees, boosting.Trees], limits: dict[str, float]) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans, and all spans (by kind, then start)."""
     base: list[list[Span]] = []
-    asked: list[tuple[int, Span]] = []
-    rows: list[list[float]] = []
+    asked: tuple[list[tuple[int, Span, str]], ...] = ([], [])
+    rows: tuple[list[list[float]], ...] = ([], [])
     for k, text in enumerate(texts):
         text = text or ""
         runs = numeric_runs(text)
@@ -227,22 +363,28 @@ def find(texts: list[str | None], trees: boosting.Trees, limits: dict[str, float
         taken = sorted((s, e) for _, s, e in base[-1])
         for span in proposals(text, runs):
             if not _overlaps(taken, span):
-                asked.append((k, span))
-                rows.append(features(text, span))
+                name = group(span, text)
+                late = name in FURTHER
+                asked[late].append((k, span, name))
+                rows[late].append((further_features if late else features)(text, span))
     extra: list[list[Span]] = [[] for _ in texts]
-    if rows:
-        p = trees.predict(np.array(rows))
-        chosen = [(k, -score, span) for (k, span), score in zip(asked, p.tolist()) if score >= limits[span[0]]]
-        for k, _, span in sorted(chosen):
-            if not any(s < span[2] and span[1] < e for _, s, e in extra[k]):
-                extra[k].append(span)
+    places: list[list[tuple[int, int]]] = [[] for _ in texts]
+    chosen: list[tuple[int, float, Span]] = []
+    for own, named, described in zip(trees, asked, rows):
+        if described:
+            p = own.predict(np.array(described))
+            chosen += [(k, -score, span) for (k, span, name), score in zip(named, p.tolist()) if score >= limits[name]]
+    for k, _, span in sorted(chosen):
+        # the spans chosen so far lie apart, so the last that begins before the end is the only one to meet
+        at = bisect_left(places[k], (span[2], -1))
+        if not at or places[k][at - 1][1] <= span[1]:
+            places[k].insert(at, span[1:])
+            extra[k].append(span)
     rank = {k: n for n, k in enumerate(KINDS)}
     return [(b, sorted(b + e, key=lambda s: (rank[s[0]], s[1], s[2])) if e else b) for b, e in zip(base, extra)]
 
 
 def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
-    from bisect import bisect_left
-
     at = bisect_left(taken, (span[2], -1))
     # base spans of different kinds can overlap, so a few before are looked at
     return any(e > span[1] for _, e in taken[max(0, at - 4) : at])

@@ -130,6 +130,31 @@ def test_added_spans():
         assert add(clean) == []
 
 
+def test_added_hosts_and_groups():
+    model = personal.model()
+    add = lambda t: [(s[0], t[s[1] : s[2]]) for s in personal.find([t], *model)[0][1] if s not in personal.base_spans(t)]
+    for address in ("2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "2a02:26f0::"):
+        assert add(f"the server {address} answered") == [("ip", address)]
+        assert personal.groups_fit(address)
+    assert add("see http://[2001:db8::1]:8080/x and 2001:db8::2/64") == [("ip", "2001:db8::1"), ("ip", "2001:db8::2")]
+    assert add("mail root@localhost about it") == [("email", "root@localhost")]
+    assert add("write to jane.doe@mailhost, please") == [("email", "jane.doe@mailhost")]
+    for clean in ("at 12:30:45 sharp", "mac address 00:1a:2b:3c:4d:5e here", "std::add(x) and Abc::face()", "take a[1::2] or a[::2]", "install react@18 or left@latest", "2:1:3 ratio", "a :: b", ":::::", "@ home @work", "C = A@B"):
+        assert add(clean) == []
+    for bad in ("1:2:3:4:5:6:7", "1::2::3", "12345::1", "::", "1:2:3:4:5:6:7:8:9", ":1::2", "1::2:", ":::1", "1:2:3:4:5:6:7:8::"):
+        assert not personal.groups_fit(bad)
+
+
+@pytest.mark.parametrize("text", ["1:" * 200_000, "a:::" * 50_000, "x::a" * 50_000, "a@" * 100_000, "a@b-" * 50_000, "::1 " * 20_000, "fe80::1 " * 20_000, "root@localhost " * 12_000])
+def test_further_spans_in_linear_time(text):
+    import time
+
+    model = personal.model()
+    began = time.time()
+    personal.find([text], *model)
+    assert time.time() - began < 5
+
+
 @pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "+1" + "(" * 200_000, "@a" * 80_000, "1.2.3." * 40_000, "a." * 80_000 + "@", "+ " * 100_000, "- " * 100_000, "1 " * 100_000])
 def test_spans_in_linear_time(text):
     import time
