@@ -25,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,8 @@ def proposals(text: str, runs: list[tuple[int, int]]) -> list[Span]:
             for kind, shape in _SHAPES:
                 for m in shape.finditer(text, max(0, first - 1), last):
                     found.add((kind, *m.span()))
-    if "[at]" in text or "(at)" in text or "[AT]" in text or "(AT)" in text:
+    low = text.lower()
+    if any(sign in low for sign in ("[at]", "(at)", "[at)", "(at]")):
         found.update(("email", *m.span()) for m in _HIDDEN.finditer(text))
     found.update(dotless(text))
     found.update(hex_groups(text))
@@ -361,8 +363,9 @@ def find(texts: list[str | None], trees: tuple[boosting.Trees, boosting.Trees],
         runs = numeric_runs(text)
         base.append(base_spans(text, runs))
         taken = sorted((s, e) for _, s, e in base[-1])
+        reach = list(accumulate((e for _, e in taken), max))
         for span in proposals(text, runs):
-            if not _overlaps(taken, span):
+            if not _overlaps(taken, reach, span):
                 name = group(span, text)
                 late = name in FURTHER
                 asked[late].append((k, span, name))
@@ -384,10 +387,10 @@ def find(texts: list[str | None], trees: tuple[boosting.Trees, boosting.Trees],
     return [(b, sorted(b + e, key=lambda s: (rank[s[0]], s[1], s[2])) if e else b) for b, e in zip(base, extra)]
 
 
-def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
+def _overlaps(taken: list[tuple[int, int]], reach: list[int], span: Span) -> bool:
+    """Whether one of the taken places, in order, overlaps the span; reach has the greatest end so far at each."""
     at = bisect_left(taken, (span[2], -1))
-    # base spans of different kinds can overlap, so a few before are looked at
-    return any(e > span[1] for _, e in taken[max(0, at - 4) : at])
+    return at > 0 and reach[at - 1] > span[1]
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -145,6 +145,19 @@ def test_added_hosts_and_groups():
         assert not personal.groups_fit(bad)
 
 
+def test_added_spans_in_any_case_and_beside_long_ones():
+    model = personal.model()
+    for t in ("mail: jane [At] example [dot] org", "mail: jane [aT] example [Dot] org"):
+        assert personal.find([t], *model)[0][1] == [("email", 6, 33)]
+    taken = [(0, 100), *((k, k + 1) for k in range(10, 60, 10))]
+    reach = [100] * len(taken)
+    assert personal._overlaps(taken, reach, ("phone", 70, 80)) and not personal._overlaps(taken, reach, ("phone", 100, 110))
+    numbers = "_".join(f"1.2.3.{k}" for k in range(10))
+    text = f"x{numbers}_phone_212-555-0100@example.org"
+    base, every = personal.find([text], *model)[0]
+    assert ("email", 0, len(text)) in base and base == every
+
+
 @pytest.mark.parametrize("text", ["1:" * 200_000, "a:::" * 50_000, "x::a" * 50_000, "a@" * 100_000, "a@b-" * 50_000, "::1 " * 20_000, "fe80::1 " * 20_000, "root@localhost " * 12_000])
 def test_further_spans_in_linear_time(text):
     import time
