@@ -175,15 +175,9 @@ def read_vocabulary(path: str) -> bytes:
     return file
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(held, remembered: int | None = None) -> Encoder:
-    """One encoder for each broadcast vocabulary in a worker; the last one only."""
-    if held.id not in _encoders:
-        _encoders.clear()
-        _encoders[held.id] = Encoder(*held.value, remembered)
-    return _encoders[held.id]
+    """The encoder of a broadcast vocabulary, kept in a worker until it does something else."""
+    return X.resident(held.id, lambda: Encoder(*held.value, remembered))
 
 
 def _broadcast(spark: SparkSession, path: str | None, pattern: str | None):
@@ -210,7 +204,7 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held)
-        for batch in X.slices(batches, "text"):
+        for batch in X.slices(batches, "text", owner=held.id):
             ids = [encoder.encode(t) if t else [] for t in batch.column(1).to_pylist()]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=at[1:])
@@ -227,16 +221,8 @@ def append_ids(docs: DataFrame, path: str | None = None, pattern: str | None = N
     schema = X.fields(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} array<int>"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from encoded(batches)
-        finally:
-            # other stages follow in the same workers
-            _encoders.clear()
-            X.settle()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held, REMEMBERED_IN_STAGES)
-        for batch in X.slices(batches, text):
+        for batch in X.slices(batches, text, owner=held.id):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids = [encoder.encode(t) if t else [] for t in texts]
             same = [encoder.decode(i) == (t or "").encode("utf-8", "replace") for i, t in zip(ids, texts)]

@@ -8,7 +8,7 @@ single text longer than the bound forms a slice of its own.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,22 @@ def settle() -> None:
         pass  # not every C library has it
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of the batches whose texts come to `limit` bytes, or one longer text."""
+_resident: list = [None, None]
+
+
+def resident(owner: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task for one owner; that of another owner is dropped first."""
+    if _resident[0] != owner:
+        _resident[:] = None, None
+        settle()
+        _resident[:] = owner, make()
+    return _resident[1]
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, owner: object = None) -> Iterator[pa.RecordBatch]:
+    """Row ranges of the batches whose texts come to `limit` bytes, or one longer text. What another owner keeps is dropped."""
+    if _resident[0] is not None and _resident[0] != owner:
+        _resident[:] = None, None
     try:
         yield from _slices(batches, column, limit)
     finally:
