@@ -4,9 +4,9 @@ For every language a bounded sample of labelled text gives a suffix automaton.
 A text is parsed greedily into phrases, each the longest piece that occurs in
 the language's sample; the language that needs the fewest phrases, normalised
 for the size of its sample, is the prediction. All texts of a slice walk the
-automata side by side with numpy: texts are dealt into lanes of at most LANE
-letters (a phrase ends at a lane's end), and a state's row in the transition
-table already holds the restart after a phrase.
+automata side by side with numpy: texts are dealt into lanes of LANE letters,
+a lane goes on from the state in which the one before it ends, and a state's row
+in the transition table already holds the restart after a phrase.
 
 Letters are folded to lower case; runs of everything else are one separator.
 Every letter of the samples has its own code. In each automaton the ALPHABET most
@@ -18,15 +18,16 @@ Languages of many letters need more phrases for their own texts too. So a
 language's limit for foreign texts is FOREIGN, or SPREAD times what the second
 half of its sample needs over the first, if that is more.
 
-The sample: for each language and each of BUCKETS hash buckets of doc_id the
-document of the least hash, and of those the first PIECE folded letters each.
-So at most BUCKETS * PIECE letters a language are learned, however large the
-table is; predictions read whole texts.
+The sample: all labelled texts are cut into pieces of PIECE characters from end
+to end; for each language and each of BUCKETS buckets the piece of the least
+hash is learned, if there is one that is full, else of a shorter one. So at
+most BUCKETS * PIECE letters a language are learned, however large the table is;
+predictions read whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0.
 Rows without a language or doc_id are not learned from. Without any learned
 language every text is `und`, and a filter keeps all that have letters. Ties go to the language first in order. Of
-repeated doc_ids the least text is learned. Other columns are not read.
+repeated doc_ids the least piece is learned. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from ledgerflow.llm import text as X
 
 BUCKETS, PIECE = 48, 400
 LANE = 512
+#: Bytes of text that are parsed at once.
+SLICE = 1 << 20
 #: Letters of a language that have a column in its table.
 ALPHABET = 94
 UNKNOWN = "und"
@@ -154,6 +157,67 @@ class Automaton:
         return move
 
 
+class Lanes:
+    """Texts dealt into lanes of LANE letters, which all walk an automaton at once."""
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray):
+        size = np.diff(at)
+        lanes = -(-size // LANE)
+        first = np.cumsum(lanes) - lanes
+        owner = np.repeat(np.arange(len(size)), lanes)
+        nth = np.arange(len(owner)) - np.repeat(first, lanes)
+        start = at[:-1][owner] + LANE * nth
+        length = np.minimum(LANE, at[1:][owner] - start)
+        # long lanes first, so that those which still walk stand together
+        order = np.argsort(-length, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.texts, self.owner, self.length = len(size), owner[order], length[order]
+        #: The lane that goes on before each, or -1; whether a lane ends its text.
+        self.before = np.where(nth > 0, place[np.maximum(np.arange(len(owner)) - 1, 0)], -1)[order] if len(owner) else owner
+        self.last = (nth == lanes[owner] - 1)[order]
+        self.active = np.searchsorted(-self.length, -np.arange(1, LANE + 1), "right")
+        # the k-th code of every lane stands together
+        start = start[order]
+        self.columns = [codes[start[: self.active[k]] + k] for k in range(int(self.length[0]) if len(order) else 0)]
+
+    def phrases(self, automaton: Automaton) -> np.ndarray:
+        """Phrases of each text, of a walk that goes on from lane to lane.
+
+        First every lane walks from the beginning of a phrase. Then lanes walk
+        again from where the lane before them came to, until they are where they
+        were the first time, which they soon are. Should one not be so at its
+        end, the lane behind it walks once more.
+        """
+        lanes = len(self.owner)
+        entered, state, ended = np.zeros((3, lanes), np.int64)
+        walked = []
+        for column in self.columns:
+            many = len(column)
+            move = automaton.step(state[:many], column)
+            ended[:many] += move & 3
+            state[:many] = move >> 2
+            walked.append(move)
+        follows = np.flatnonzero(self.before >= 0)
+        while len(again := follows[state[self.before[follows]] != entered[follows]]):
+            now = state[self.before[again]]
+            entered[again] = now
+            for k, column in enumerate(self.columns):
+                # a lane that another one follows is full, so only a text's last lane can end here
+                open_ = k < self.length[again]
+                again, now = again[open_], now[open_]
+                if not len(again):
+                    break
+                move, old = automaton.step(now, column[again]), walked[k][again]
+                walked[k][again] = move
+                ended[again] += (move & 3).astype(np.int64) - (old & 3)
+                now = move.astype(np.int64) >> 2
+                state[again[k + 1 == self.length[again]]] = now[k + 1 == self.length[again]]
+                apart = now != old >> 2
+                again, now = again[apart], now[apart]
+        return np.bincount(self.owner, ended + (self.last & (state > 0)), self.texts).astype(np.int64)
+
+
 class Model:
     def __init__(self, samples: dict[str, np.ndarray]):
         every = np.concatenate([*samples.values(), np.zeros(0, np.uint32)])
@@ -193,27 +257,10 @@ class Model:
         folded, at = letters(texts)
         codes = self.codes(folded)
         size = np.diff(at)
-        lanes = -(-size // LANE)
-        owner = np.repeat(np.arange(len(size)), lanes)
-        start = at[:-1][owner] + LANE * (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        length = np.minimum(LANE, at[1:][owner] - start)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(1, LANE + 1), "right")
-        # the k-th code of every lane stands together
-        columns = []
-        for k in range(int(length[0]) if len(length) else 0):
-            columns.append(codes[start[: active[k]] + k])
+        lanes = Lanes(codes, at)
         out = np.zeros((len(size), len(self.automata)), np.int64)
         for n, automaton in enumerate(self.automata):
-            state = np.zeros(len(owner), np.int64)
-            ended = np.zeros(len(owner), np.int64)
-            for column in columns:
-                many = len(column)
-                move = automaton.step(state[:many], column)
-                ended[:many] += move & 3
-                state[:many] = move >> 2
-            out[:, n] = np.bincount(owner, ended + (state > 0), len(size)).astype(np.int64)
+            out[:, n] = lanes.phrases(automaton)
         return size, out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -238,16 +285,20 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", buckets: int = BUCKETS, piece: int = PIECE) -> Model:
     """Learn from the rows given; at most buckets * piece letters for each language."""
     own = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), docs[text].alias("text"))
-    # short texts first give little: the sample takes texts that fill their piece where there are some
     own = own.filter(F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
-    own = own.withColumn("hash", F.xxhash64("key", F.lit("language"))).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
-    chosen = own.groupBy("lang", "bucket").agg(F.min("hash").alias("hash"))
+    # every piece of every text can be drawn, wherever it stands; pieces that are filled come before a text's short last one
+    pieces = own.withColumn("nth", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))))
+    short = (F.length("text") < (F.col("nth") + 1) * piece).cast("int")
+    hashed = F.xxhash64("key", "nth", F.lit("language"))
+    pieces = pieces.select("key", "lang", "nth", F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket"), F.struct(short.alias("short"), hashed.alias("hash")).alias("rank"))
+    chosen = pieces.groupBy("lang", "bucket").agg(F.min(F.struct("rank", "key", "nth")).alias("least")).select("lang", "bucket", "least.key", "least.nth")
     # one row for each language and bucket: the languages are the classes, a bounded number
-    picked = own.join(F.broadcast(chosen), ["lang", "bucket", "hash"]).groupBy("lang", "bucket").agg(F.min(F.substring("text", 1, 4 * piece)).alias("text")).orderBy("lang", "bucket").collect()
+    found = own.join(F.broadcast(chosen), ["lang", "key"])
+    picked = found.groupBy("lang", "bucket").agg(F.min(F.substring("text", F.col("nth") * piece + 1, F.lit(piece))).alias("text")).orderBy("lang", "bucket").collect()
     samples: dict[str, list[np.ndarray]] = {}
     for r in picked:
         folded, _ = letters([r["text"]])
-        samples.setdefault(r["lang"], []).append(np.append(folded[:piece], 0).astype(np.uint32))
+        samples.setdefault(r["lang"], []).append(np.append(folded, 0).astype(np.uint32))
     return Model({k: np.concatenate(v) for k, v in samples.items()})
 
 
@@ -257,7 +308,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, "text"):
+        for batch in X.slices(batches, "text", SLICE):
             names, score, rate = held.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["key", "lang_pred", "score", "rate"])
 
@@ -269,7 +320,7 @@ def keep_written(docs: DataFrame, model: Model, text: str = "text", foreign: flo
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, text):
+        for batch in X.slices(batches, text, SLICE):
             names, _, rate = held.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             limit = np.array([max(foreign, held.value.limits.get(k, foreign)) for k in names])
             yield batch.filter(pa.array(rate <= limit))

@@ -478,33 +478,32 @@ def test_components_of_a_path(spark):
 # --- 10 language ---------------------------------------------------------------------------------------------------
 
 
-def plain_phrases(sample, codes, lane):
+def plain_phrases(sample, codes):
     """Greedy longest matches, by searching the sample."""
-    n = 0
-    text = "".join(map(chr, sample))
-    for a in range(0, len(codes), lane):
-        piece, at = "".join(map(chr, codes[a : a + lane])), 0
-        while at < len(piece):
-            size = 0
-            while at + size < len(piece) and piece[at : at + size + 1] in text:
-                size += 1
-            at += max(1, size)
-            n += 1
+    n = at = 0
+    text, piece = "".join(map(chr, sample)), "".join(map(chr, codes))
+    while at < len(piece):
+        size = 0
+        while at + size < len(piece) and piece[at : at + size + 1] in text:
+            size += 1
+        at += max(1, size)
+        n += 1
     return n
 
 
-def test_phrases(monkeypatch):
-    monkeypatch.setattr(language, "LANE", 16)
+@pytest.mark.parametrize("lane", [1, 3, 16])
+def test_phrases(monkeypatch, lane):
+    monkeypatch.setattr(language, "LANE", lane)
     r = random.Random(6)
     samples = {k: np.array([0 if r.random() < 0.2 else ord(r.choice(a)) for _ in range(200)], np.uint32) for k, a in (("x", "abc"), ("y", "bcd"))}
     model = language.Model(samples)
-    texts = ["".join(r.choice("abcd  e1") for _ in range(r.randint(0, 70))) for _ in range(60)] + [None, "", "1 2 3", "Ωmega", "𝒳𝒴"]
+    texts = ["".join(r.choice("abcd  e1") for _ in range(r.randint(0, 70))) for _ in range(60)] + ["".join(map(chr, samples["x"])).replace("\0", " ") * 2, None, "", "1 2 3", "Ωmega", "𝒳𝒴"]
     size, got = model.phrases(texts)
     for k, t in enumerate(texts):
         folded, _ = language.letters([t])
         codes = model.codes(folded).tolist()
         assert size[k] == len(codes)
-        assert got[k].tolist() == [plain_phrases(model.codes(samples[x]).tolist(), codes, 16) for x in ("x", "y")]
+        assert got[k].tolist() == [plain_phrases(model.codes(samples[x]).tolist(), codes) for x in ("x", "y")]
 
 
 def test_language(spark, sf_dir, odd, empty):
@@ -522,6 +521,12 @@ def test_language(spark, sf_dir, odd, empty):
     assert {x["lang_pred"] for x in language.identify(odd, unknown).collect()} == {"und"} and language.identify(empty, model).count() == 0
 
 
+def test_pieces_of_whole_texts_are_learned(spark):
+    texts = [(1, "1 " * 600 + "abc " * 200, "x"), (2, "zzz " * 100 + "def " * 2000, "y")]
+    model = language.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert model.predict(["abc abc abc", "def def def"])[0] == ["x", "y"]
+
+
 def test_letters_beyond_the_table(monkeypatch):
     monkeypatch.setattr(language, "LANE", 64)
     r = random.Random(9)
@@ -532,7 +537,7 @@ def test_letters_beyond_the_table(monkeypatch):
     _, got = model.phrases(texts)
     for k, t in enumerate(texts):
         codes = model.codes(language.letters([t])[0]).tolist()
-        assert got[k].tolist() == [plain_phrases(model.codes(samples[x]).tolist(), codes, 64) for x in ("han", "x")]
+        assert got[k].tolist() == [plain_phrases(model.codes(samples[x]).tolist(), codes) for x in ("han", "x")]
 
 
 def test_scripts_that_were_not_learned(spark):
