@@ -34,9 +34,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, one in the local temporary folder."""
+    """The folder in spark.checkpoint.dir; only where it is unset, and all runs on this machine, one in the local temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/ledgerflow-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -47,14 +49,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the folders that cut() wrote for these frames; nothing may read them afterwards."""
-    shared = shared_folder(spark).split("://")[-1].strip("/").split("/")[-1]
+    """Delete what cut() wrote for these frames; nothing may read them afterwards. Other frames are left alone."""
     for frame in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if folder.split("/")[-2] == shared:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if written := frame.__dict__.pop("_cut_path", None):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that are of use only until a block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.frames = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        found = cut(df, name)
+        self.frames.append(found)
+        return found
+
+    def drop(self, *frames: DataFrame) -> None:
+        drop(self.spark, *frames)
+
+    def __exit__(self, *failed) -> None:
+        drop(self.spark, *self.frames)
