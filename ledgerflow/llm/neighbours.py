@@ -5,16 +5,18 @@ query group and a vector group meets in one task. There the vectors are
 quantised to int8 with a scale each; a product of two tiles of codes (exact, as
 whole numbers in floats) gives the distance between the quantised vectors, and
 the norms of what quantisation took away bound the true distance from below and
-above. Pairs whose lower bound is beyond the k-th best upper bound are dropped;
-the others are computed in double precision and merged into a heap for each
-query. The heaps of all groups meet in a top-k per query. So the result is
-exact; the bounds only spare work.
+above. Pairs whose lower bound is beyond the k-th best upper bound, of this tile
+or of the tiles before it, are dropped; the others are computed in double
+precision and merged into a heap for each query. The heaps of all groups meet in
+a top-k per query. So the result is exact; the bounds only spare work, the more
+the larger a group is, so a group has thousands of vectors where there are so
+many.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, neither do rows without an id. Vectors meet only
-vectors of their own dimension. Rows that repeat a query's id are taken for the
-query's own row; a query row that is repeated is answered once for each row.
-Ties go to the smaller id. Other columns are not read.
+vectors of their own dimension. A query row does not meet itself, but other rows
+that repeat its id; a repeated query row is answered once for each row. Ties go
+to the smaller id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ledgerflow.llm import text as X
 
 K = 10
-#: Rows of a query group and of a vector group at most, on average; the least number of vector groups; columns of a tile.
-QUERY_GROUP, VECTOR_GROUP, LEAST_GROUPS, TILE = 2048, 4096, 128, 1024
+#: Rows of a query group and of a vector group at most, on average; columns of a tile.
+QUERY_GROUP, VECTOR_GROUP, TILE = 1024, 2048, 1024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,38 +41,58 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, np.sqrt(((x - code * scale[:, None]) ** 2).sum(axis=1))
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each query the k least (distance, id), ascending."""
-    # whole numbers up to dimension * 127 * 127 are exact in this kind of float
-    kind = np.float32 if x.shape[1] <= 1000 else np.float64
-    with np.errstate(all="ignore"):
-        q_code, q_scale, q_rest = quantise(q)
-        q_tile = q_code.astype(kind)
-        q_square = (q_code.astype(np.int64) ** 2).sum(axis=1) * q_scale**2
-        heaps: list[list[tuple[float, int]]] = [[] for _ in q]
-        for at in range(0, len(x), TILE):
-            part, ids = x[at : at + TILE], x_ids[at : at + TILE]
+class Search:
+    """The k least (distance, id) of each query over the vectors shown so far."""
+
+    def __init__(self, q: np.ndarray, q_rows: np.ndarray, k: int):
+        # whole numbers up to dimension * 127 * 127 are exact in this kind of float
+        self.kind = np.float32 if q.shape[1] <= 1000 else np.float64
+        self.q, self.rows, self.k = q, q_rows, k
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in q]
+        #: Pairs met, and those of them that were computed in double precision.
+        self.met = self.computed = 0
+        with np.errstate(all="ignore"):
+            code, self.scale, self.rest = quantise(q)
+            self.tile = code.astype(self.kind)
+            self.square = (code.astype(np.int64) ** 2).sum(axis=1) * self.scale**2
+
+    def show(self, part: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Meet a tile of vectors, with their ids and row numbers."""
+        k = self.k
+        with np.errstate(all="ignore"):
             code, scale, rest = quantise(part)
-            product = (q_tile @ code.astype(kind).T).astype(np.float64)
-            square = q_square[:, None] + (code.astype(np.int64) ** 2).sum(axis=1) * scale**2 - 2 * product * q_scale[:, None] * scale
+            product = (self.tile @ code.astype(self.kind).T).astype(np.float64)
+            square = self.square[:, None] + (code.astype(np.int64) ** 2).sum(axis=1) * scale**2 - 2 * product * self.scale[:, None] * scale
             near = np.sqrt(np.maximum(square, 0))
-            slack = (q_rest[:, None] + rest) * (1 + 1e-9) + 1e-6 * (np.sqrt(q_square)[:, None] + near)
-            own = q_ids[:, None] == ids
+            slack = (self.rest[:, None] + rest) * (1 + 1e-9) + 1e-6 * (np.sqrt(self.square)[:, None] + near)
+            own = self.rows[:, None] == rows
             upper = np.where(own, np.inf, near + slack)
-            limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(q), np.inf)
-            held = np.array([-h[0][0] if len(h) == k else np.inf for h in heaps])
+            limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(self.q), np.inf)
+            held = np.array([-h[0][0] if len(h) == k else np.inf for h in self.heaps])
             keep = ~(near - slack > np.minimum(limit, held)[:, None]) & ~own
+            self.met += keep.size
+            self.computed += int(keep.sum())
             for row in np.flatnonzero(keep.any(axis=1)):
                 cols = np.flatnonzero(keep[row])
-                exact = np.sqrt(np.cumsum((part[cols] - q[row]) ** 2, axis=1)[:, -1])  # summed in order, one component after another
+                exact = np.sqrt(np.cumsum((part[cols] - self.q[row]) ** 2, axis=1)[:, -1])  # summed in order, one component after another
                 best = np.lexsort((ids[cols], exact))[:k]
+                heap = self.heaps[row]
                 for distance, other in zip(exact[best].tolist(), ids[cols[best]].tolist()):
                     # a max-heap by negation: its head is the worst of the k
-                    if len(heaps[row]) < k:
-                        heapq.heappush(heaps[row], (-distance, -other))
-                    elif (-distance, -other) > heaps[row][0]:
-                        heapq.heapreplace(heaps[row], (-distance, -other))
-    return [sorted((-d, -i) for d, i in h) for h in heaps]
+                    if len(heap) < k:
+                        heapq.heappush(heap, (-distance, -other))
+                    elif (-distance, -other) > heap[0]:
+                        heapq.heapreplace(heap, (-distance, -other))
+
+    def best(self) -> list[list[tuple[float, int]]]:
+        return [sorted((-d, -i) for d, i in h) for h in self.heaps]
+
+
+def search(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_rows: np.ndarray, k: int) -> Search:
+    found = Search(q, q_rows, k)
+    for at in range(0, len(x), TILE):
+        found.show(x[at : at + TILE], x_ids[at : at + TILE], x_rows[at : at + TILE])
+    return found
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -80,7 +102,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     own = own.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0.0))
     own = own.withColumn("uid", F.monotonically_increasing_id()).withColumn("dim", F.size("v"))
     rows, asked = own.agg(F.count("*"), F.count_if("is_query")).first()
-    vector_groups = max(LEAST_GROUPS, -(-rows // VECTOR_GROUP))
+    vector_groups = max(1, -(-rows // VECTOR_GROUP))
     query_groups = max(1, -(-asked // QUERY_GROUP))
     dealt = F.xxhash64("uid")
     asking = own.filter("is_query").withColumn("gq", F.pmod(dealt, F.lit(query_groups)).cast("int")).withColumn("gv", F.explode(F.sequence(F.lit(0), F.lit(vector_groups - 1))))
@@ -90,13 +112,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
         out: list[tuple[int, int, float, int]] = []
         if len(left) and len(right):
             q, x = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            found = search(q, left["id"].to_numpy(), x, right["id"].to_numpy(), k)
+            found = search(q, left["uid"].to_numpy(), x, right["id"].to_numpy(), right["uid"].to_numpy(), k).best()
             for uid, query, best in zip(left["uid"], left["id"], found):
                 out += [(uid, query, d, i) for d, i in best]
         return pd.DataFrame(out, columns=["uid", "query_id", "score", "vec_id"])
 
     keys = ["dim", "gq", "gv"]
-    met = asking.groupBy(*keys).cogroup(held.select("id", "v", *keys).groupBy(*keys)).applyInPandas(tiles, "uid long, query_id long, score double, vec_id long")
+    met = asking.groupBy(*keys).cogroup(held.select("id", "uid", "v", *keys).groupBy(*keys)).applyInPandas(tiles, "uid long, query_id long, score double, vec_id long")
     rank = F.row_number().over(W.partitionBy("uid").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -107,11 +129,11 @@ def op6_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  SELECT row_number() OVER () AS place, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), p AS (
-  SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda a, b: a + b)) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
+  SELECT q.place, q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda a, b: a + b)) AS score FROM v AS q JOIN v ON q.place <> v.place AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
 """
