@@ -9,6 +9,14 @@ a positional filter (what can still follow behind the shingle) and a suffix
 filter (an upper bound of the overlap from 256 counts of the two whole sets).
 Candidates are verified on the whole sets, once per pair.
 
+Sets travel as hashes: of 64 bits up to SMALL shingles, of 40 up to LONG, and of
+48 beyond. Hashes that fall together can only add to what two sets seem to have
+in common, so a pair that has too little is none. A pair of shortened hashes that
+has MARGIN more than it needs is one, as so many chance agreements in a pair come
+once in 10**28. Pairs in between are decided on the words of their texts. A node
+is named by 64 bits; should two different sets, told apart by 64 further bits,
+share a name, all are named anew.
+
 Only the components of the links are asked for, so pairs that are connected
 already are left out, and no group of near copies costs its square: in the first
 round each node meets its neighbour in a list under some of ORDERS random
@@ -18,10 +26,6 @@ passes the filters. It leaves out no link between components. Lists are dealt
 out in pieces of at most PIECE nodes, pairs of pieces apart, so no task holds a
 whole list.
 
-Sets are compared on 40 bits of the hashes (48 for sets over LONG), which lets
-two sets of 500 shingles seem to have one more in common once in four million
-pairs.
-
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing. A text of one to four words has one shingle, the whole
 sequence. Rows without an id count as documents, but lend no id to a component.
@@ -34,18 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerflow.llm import text as X
 from ledgerflow.llm.components import components
-from ledgerflow.runtime import cut, drop
+from ledgerflow.runtime import Scratch, cut, drop
 
 SHINGLE = 5
 BUCKETS = 1 << 18
 #: Bits of a token below the class of its counter.
 LOW = 58
 BINS = 256
-LONG = 2048
+SMALL, LONG = 64, 2048
+#: Shingles in common beyond what is needed, from which shortened hashes are trusted.
+MARGIN = 4
 ORDERS = 16
 #: Bytes of text that are turned into shingles at once.
 SLICE = 1 << 20
@@ -76,18 +82,22 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return text[new], gram[new], len(at) - 1
 
 
-def _nodes(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
+#: What tells the two numbers of a set apart.
+NAME, CHECK = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25
+
+
+def _nodes(gram: np.ndarray, first: np.ndarray, salt: int = NAME) -> np.ndarray:
     """A number for each set, from its elements only."""
     total = np.zeros(len(gram) + 1, np.uint64)
-    np.cumsum(X.mix(gram ^ np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
+    np.cumsum(X.mix(gram ^ np.uint64(salt)), out=total[1:])
     return X.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def _unseen(nodes: np.ndarray, filled: np.ndarray, seen: set[int]) -> np.ndarray:
-    """The first row of each node that this task has not met."""
+def _unseen(nodes: np.ndarray, checks: np.ndarray, filled: np.ndarray, seen: set[tuple[int, int]]) -> np.ndarray:
+    """The first row of each set that this task has not met."""
     fresh = np.zeros(len(nodes), bool)
     for k in np.flatnonzero(filled):
-        if (v := int(nodes[k])) not in seen:
+        if (v := (int(nodes[k]), int(checks[k]))) not in seen:
             seen.add(v)
             fresh[k] = True
     return fresh
@@ -105,7 +115,7 @@ def count_classes(source: DataFrame) -> np.ndarray:
         for batch in X.slices(batches, "text", SLICE):
             text, gram, n = shingles(batch.column(0))
             first = np.searchsorted(text, np.arange(n + 1))
-            fresh = _unseen(_nodes(gram, first), np.diff(first) > 0, seen)
+            fresh = _unseen(_nodes(gram, first), _nodes(gram, first, CHECK), np.diff(first) > 0, seen)
             counts += np.bincount(_bucket(gram[fresh[text]]), minlength=BUCKETS)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["bucket", "n"])
@@ -118,10 +128,15 @@ def count_classes(source: DataFrame) -> np.ndarray:
 
 
 def _packed(gram: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Each set's sorted hashes, the upper 5 bytes of each, or 6 in sets over LONG."""
+    """Each set's sorted hashes, whole up to SMALL, the upper 5 bytes of each up to LONG, else 6."""
     raw = gram.byteswap().view(np.uint8).reshape(-1, 8)
     five, six = np.ascontiguousarray(raw[:, :5]), np.ascontiguousarray(raw[:, :6])
-    return [(five if b - a <= LONG else six)[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+    return [(raw if b - a <= SMALL else five if b - a <= LONG else six)[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+
+
+def _width(n1: int, n2: int) -> int:
+    """Bytes of the hashes that both sets of a pair have."""
+    return 8 if max(n1, n2) <= SMALL else 6 if min(n1, n2) > LONG else 5
 
 
 def _opened(data: bytes, n: int, width: int) -> np.ndarray:
@@ -135,7 +150,7 @@ def _opened(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 def describe(source: DataFrame, classes: np.ndarray, num: int, den: int) -> DataFrame:
-    """Per document: key, node, n; in one row of each node and task also prefix, bins and set."""
+    """Per document: key, node, check, n; in one row of each node and task also prefix, bins and set."""
     held = source.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +159,8 @@ def describe(source: DataFrame, classes: np.ndarray, num: int, den: int) -> Data
             text, gram, n = shingles(batch.column(1))
             first = np.searchsorted(text, np.arange(n + 1))
             size = np.diff(first)
-            nodes = _nodes(gram, first)
-            fresh = _unseen(nodes, size > 0, seen)
+            nodes, checks = _nodes(gram, first), _nodes(gram, first, CHECK)
+            fresh = _unseen(nodes, checks, size > 0, seen)
             sets = _packed(gram, first)
             token = rank[_bucket(gram)] | (gram & np.uint64((1 << LOW) - 1))
             own = fresh[text]
@@ -162,11 +177,52 @@ def describe(source: DataFrame, classes: np.ndarray, num: int, den: int) -> Data
             np.cumsum(np.where(fresh, most, 0), out=at[1:])
             prefix = pa.ListArray.from_arrays(pa.array(at, mask=np.append(~fresh, False)), pa.array(token[keep].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, mask=size == 0), pa.array(size, pa.int64()), prefix, pa.array([b.tobytes() if f else None for b, f in zip(bins, fresh)], pa.binary()), pa.array([s if f else None for s, f in zip(sets, fresh)], pa.binary())],
-                names=["key", "node", "n", "prefix", "bins", "set"],
+                [batch.column(0), pa.array(nodes, mask=size == 0), pa.array(checks), pa.array(size, pa.int64()), prefix, pa.array([b.tobytes() if f else None for b, f in zip(bins, fresh)], pa.binary()), pa.array([s if f else None for s, f in zip(sets, fresh)], pa.binary())],
+                names=["key", "node", "check", "n", "prefix", "bins", "set"],
             )
 
-    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, node long, n long, prefix array<long>, bins binary, set binary")
+    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, node long, check long, n long, prefix array<long>, bins binary, set binary")
+
+
+class Ground:
+    """What a join stands on: source (key, text), rows (of describe()), and members, the least key of each node."""
+
+    def __init__(self, source: DataFrame, rows: DataFrame):
+        self.source, self.rows, self.renamed = source, rows, 0
+        while True:
+            self.members = cut(self.rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high")), "jaccard-members")
+            if self.members.filter("low <> high").isEmpty():
+                break
+            # different sets share a name
+            again = cut(self.rows.withColumn("node", self.new_name()), "jaccard-rows")
+            drop(source.sparkSession, self.rows, self.members)
+            self.rows, self.renamed = again, self.renamed + 1
+        self.nodes = self.rows.filter("prefix IS NOT NULL")
+
+    @staticmethod
+    def new_name() -> Column:
+        return F.when(F.col("node").isNotNull(), F.xxhash64("node", "check"))
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """node and text, one for each of the wanted nodes and few others."""
+        # only documents whose keys may be those of such nodes, told by a residue, are looked at
+        residue = F.pmod(F.xxhash64("key"), F.lit(RESIDUES)).cast("int")
+        keys = asked(self.nodes.select("key", "node"), wanted).select(residue.alias("residue")).distinct()
+        near = self.source.withColumn("residue", residue).join(F.broadcast(keys), "residue", "left_semi").select("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
+            for batch in X.slices(batches, "text", SLICE):
+                text, gram, n = shingles(batch.column(0))
+                first = np.searchsorted(text, np.arange(n + 1))
+                nodes, checks = _nodes(gram, first), _nodes(gram, first, CHECK)
+                fresh = pa.array(_unseen(nodes, checks, np.diff(first) > 0, seen))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(checks), batch.column(0)], names=["node", "check", "text"]).filter(fresh)
+
+        found = near.mapInArrow(run, "node long, check long, text string")
+        for _ in range(self.renamed):
+            found = found.withColumn("node", self.new_name())
+        return asked(found, wanted).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +284,20 @@ class Join:
         return met.filter(ok).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
     def second_round(self, lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of lists that are in different components and pass the filters."""
-        known = cut(lists.join(labels, lists.node == labels.u, "left").select("token", "node", "place", "piece", F.coalesce("v", "node").alias("label")), "jaccard-known")
-        # in a list of two the pair has been met
-        open_ = cut(known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("piece").alias("last")).filter("many > 2 AND a < b").select("token", "last"), "jaccard-open")
-        left = cut(known.join(open_, "token"), "jaccard-left")
-        bins = nodes.filter("bins IS NOT NULL").select("node", "bins")
-        bins = asked(bins, left.select("node")).groupBy("node").agg(F.first("bins").alias("bins"))
+        """All pairs of lists that are in different components and pass the filters; written."""
+        with Scratch(lists.sparkSession) as held:
+            known = held.cut(lists.join(labels, lists.node == labels.u, "left").select("token", "node", "place", "piece", F.coalesce("v", "node").alias("label")), "jaccard-known")
+            # in a list of two the pair has been met
+            open_ = held.cut(known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("piece").alias("last")).filter("many > 2 AND a < b").select("token", "last"), "jaccard-open")
+            left = held.cut(known.join(open_, "token"), "jaccard-left")
+            bins = nodes.filter("bins IS NOT NULL").select("node", "bins")
+            bins = held.cut(asked(bins, left.select("node")).groupBy("node").agg(F.first("bins").alias("bins")), "jaccard-bins")
+            return cut(self.pairs_of(left, bins), "jaccard-second")
+
+    def pairs_of(self, left: DataFrame, bins: DataFrame) -> DataFrame:
         # a piece meets itself and every other piece of its list
         other = F.explode(F.sequence(F.lit(0).cast("long"), "last"))
-        dealt = left.join(cut(bins, "jaccard-bins"), "node").withColumn("with", other).select("token", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "node", "place", "label", "bins")
+        dealt = left.join(bins, "node").withColumn("with", other).select("token", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "node", "place", "label", "bins")
         dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
         def pairs(rows: list[np.ndarray], bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,13 +347,22 @@ class Join:
         full = (bins1 == 255).any(axis=1) | (bins2 == 255).any(axis=1)
         return full | (np.minimum(bins1, bins2).sum(axis=1, dtype=np.int64) >= self.common(total))
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame, bound: bool) -> DataFrame:
-        """The pairs (x, y) of nodes that are similar, as edges (u, v)."""
-        if bound:
-            bins = asked(nodes.filter("bins IS NOT NULL").select("node", "n", "bins"), ends(pairs)).groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
-            pairs = cut(_both(pairs, cut(bins, "jaccard-bins"), "n", "bins").mapInArrow(self._bound, "x long, y long"), "jaccard-pairs")
-        sets = asked(nodes.filter("set IS NOT NULL").select("node", "n", "set"), ends(pairs)).groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"))
-        return _both(pairs, cut(sets, "jaccard-sets"), "n", "set").mapInArrow(self._similar, "u long, v long")
+    def verified(self, pairs: DataFrame, ground: Ground, bound: bool) -> DataFrame:
+        """The pairs (x, y) of nodes that are similar, as edges (u, v); written."""
+        nodes = ground.nodes
+        with Scratch(pairs.sparkSession) as held:
+            if bound:
+                bins = held.cut(asked(nodes.select("node", "n", "bins"), ends(pairs)).groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "jaccard-bins")
+                pairs = held.cut(_both(pairs, bins, "n", "bins").mapInArrow(self._bound, "x long, y long"), "jaccard-pairs")
+                held.drop(bins)
+            sets = held.cut(asked(nodes.select("node", "n", "set"), ends(pairs)).groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "jaccard-sets")
+            judged = held.cut(_both(pairs, sets, "n", "set").mapInArrow(self._similar, "u long, v long, sure boolean"), "jaccard-judged")
+            held.drop(sets)
+            edges, unsure = judged.filter("sure").select("u", "v"), judged.filter("NOT sure").select(F.col("u").alias("x"), F.col("v").alias("y"))
+            if not unsure.isEmpty():
+                texts = held.cut(ground.texts(ends(unsure)), "jaccard-texts")
+                edges = edges.union(_both(unsure, texts, "text").mapInArrow(self._same_words, "u long, v long"))
+            return cut(edges, "jaccard-edges")
 
     def _bound(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,14 +372,33 @@ class Join:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["x", "y"])
 
     def _similar(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that have enough in common by their hashes, and whether that is sure."""
         for batch in batches:
-            u, v = [], []
+            u, v, sure = [], [], []
             for x, y, n1, n2, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                width = 6 if min(n1, n2) > LONG else 5
-                if len(np.intersect1d(_opened(a, n1, width), _opened(b, n2, width), assume_unique=True)) >= self.common(n1 + n2):
+                width = _width(n1, n2)
+                one, two = _opened(a, n1, width), _opened(b, n2, width)
+                common, need = len(np.intersect1d(one, two, assume_unique=True)), self.common(n1 + n2)
+                # what falls together in both sets is counted once
+                if common + min(n1 - len(one), n2 - len(two)) >= need:
                     u.append(x)
                     v.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    sure.append(bool(width == 8 or common >= need + MARGIN))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+
+    def _same_words(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, two = word_shingles(a), word_shingles(b)
+                keep.append(100 * len(one & two) >= self.percent * len(one | two))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def word_shingles(text: str, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    # bytes are split where words `[^\x20\x09-\x0D]+` are
+    words = text.encode("utf-8", "surrogatepass").translate(X.LOWER.tobytes()).split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -335,25 +423,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     join = Join(percent)
-    rows = cut(describe(source, count_classes(source), percent, 100), "jaccard-rows")
-    nodes = rows.filter("prefix IS NOT NULL")
-
-    place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", place.alias("place"))
-    lists = cut(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, place long, piece long"), "jaccard-lists")
-
-    edges = cut(join.verified(cut(join.first_round(lists), "jaccard-first"), nodes, bound=True), "jaccard-edges")
-    labels = components(edges)
-    more = join.verified(cut(join.second_round(lists, nodes, labels), "jaccard-second"), nodes, bound=False)
-    labels = components(edges.union(cut(more, "jaccard-more")))
-
-    members = cut(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key")), "jaccard-members")
-    classes = cut(members.join(labels, members.node == labels.u, "left").select("node", "key", F.coalesce("v", "node").alias("label")), "jaccard-classes")
-    named = cut(classes.groupBy("label").agg(F.min("key").alias("component")), "jaccard-named")
-    classes = cut(classes.select("node", "label").join(named, "label").select("node", "component"), "jaccard-classes")
-    out = cut(rows.filter("n > 0").select("key", "node", "n").join(classes, "node").select("key", F.col("n").alias("n_shingles"), "component"), "jaccard-out")
+    ground = Ground(source, cut(describe(source, count_classes(source), percent, 100), "jaccard-rows"))
+    rows, members = ground.rows, ground.members
+
+    with Scratch(spark) as held:
+        place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
+        postings = ground.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", place.alias("place"))
+        lists = held.cut(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, place long, piece long"), "jaccard-lists")
+
+        met = held.cut(join.first_round(lists), "jaccard-first")
+        edges = join.verified(met, ground, bound=True)
+        held.drop(met)
+        labels = components(edges)
+        met = join.second_round(lists, ground.nodes, labels)
+        held.drop(lists, labels)
+        more = join.verified(met, ground, bound=False)
+        held.drop(met)
+        labels = components(edges.union(more))
+        held.drop(edges, more)
+
+    with Scratch(spark) as held:
+        # nodes that no link leads to are components by themselves
+        classes = held.cut(members.join(labels, members.node == labels.u, "left").select("node", "key", F.coalesce("v", "node").alias("label")), "jaccard-classes")
+        named = held.cut(classes.groupBy("label").agg(F.min("key").alias("component")), "jaccard-named")
+        final = held.cut(classes.select("node", "label").join(named, "label").select("node", "component"), "jaccard-classes")
+        held.drop(members, labels, classes, named)
+        out = cut(rows.filter("n > 0").select("key", "node", "n").join(final, "node").select("key", F.col("n").alias("n_shingles"), "component"), "jaccard-out")
     alone = cut(rows.filter("n = 0").select("key", F.col("n").alias("n_shingles"), F.col("key").alias("component")), "jaccard-out")
-    drop(spark, rows, lists)
+    drop(spark, rows)
     return out.union(alone)
 
 

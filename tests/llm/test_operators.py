@@ -319,6 +319,26 @@ def test_neighbours(spark):
     assert [x for x in got if x[0] == 406] == [(406, 1, 407, 1.0)]
 
 
+def test_neighbours_with_the_same_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.5]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in neighbours.nearest(df, F.col("vec_id") == 0).collect())
+    assert got == sorted([(0, 1, 0, 0.5), (0, 1, 0, 0.5), (0, 2, 1, 2.0), (0, 2, 1, float(np.sqrt(4.25)))])
+
+
+def test_bounds_drop_most_pairs(spark, sf_dir):
+    path = f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet"
+    rows = spark.read.parquet(path).selectExpr("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    assert len(rows) < neighbours.VECTOR_GROUP  # so the query has one group, as here
+    asked = np.flatnonzero(ids % 100 == 0)
+    found = neighbours.search(x[asked], asked, x, ids, np.arange(len(x)), 10)
+    assert found.met == len(asked) * len(x) and found.computed < 0.2 * found.met
+    for k, best in zip(asked, found.best()):
+        exact = np.sqrt(np.cumsum((x - x[k]) ** 2, axis=1)[:, -1])
+        want = sorted((float(d), int(i)) for n, (d, i) in enumerate(zip(exact, ids)) if n != k)[:10]
+        assert best == want
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 1e200]), (1, [2.0, -1e200]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
     assert [x["vec_id"] for x in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] in ([2, 1], [1, 2])
@@ -362,6 +382,18 @@ def test_tags(spark):
     assert (got["labels"], got["accepted"], got["score"], got["expressions"]) == (["apache", "gpl", "mit"], True, 1.0, ["(MIT OR GPL-2.0-only) AND Apache-2.0"])
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SPDX-License-Identifier: MIT the text goes on", ["MIT"]), ("spdx-license-identifier: MIT and so on, or not", ["MIT"]), ("SPDX-License-Identifier: Apache-2.0 or MIT.", ["Apache-2.0 or MIT"]), ("SPDX-License-Identifier: foo", []),
+        ("SPDX-License-Identifier: LicenseRef-Foo.1 AND (Foo-1.0 OR\tISC) x", ["LicenseRef-Foo.1 AND (Foo-1.0 OR\tISC)"]), ("SPDX-License-Identifier: MIT\nAND GPL-2.0", ["MIT"]), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+        ("SPDX-License-Identifier: MIT AND", ["MIT AND"]), ("SPDX-License-Identifier: (MIT", ["(MIT"]), ("a SPDX-License-Identifier:MIT SPDX-License-Identifier: ISC", ["MIT", "ISC"]), ("SPDX-License-Identifier: MIT)", ["MIT"]), ("SPDX-License-Identifier:", []), ("", []),
+    ],
+)
+def test_expressions_end_before_prose(text, want):
+    assert licenses.expressions(text) == want
+
+
 def test_long_tags(spark):
     import time
 
@@ -374,6 +406,7 @@ def test_long_tags(spark):
     assert (got[2]["expressions"], got[2]["labels"], got[2]["accepted"]) == ([nested], ["isc", "mit"], True)
     began = time.time()
     assert licenses.evaluate(many) == ({f"x{k}" for k in range(40_000)}, False)
+    assert licenses.expressions("SPDX-License-Identifier: " + "a" * 500_000) == [] and licenses.expressions("SPDX-License-Identifier: " + "a-" * 250_000 + "b") == []
     assert licenses.evaluate(" AND (".join(["MIT", *(f"x{k}" for k in range(40_000))]) + ")" * 40_000)[1] is False
     assert time.time() - began < 5
 
@@ -454,6 +487,39 @@ def test_components(spark, odd, empty, monkeypatch, piece):
     assert sorted(repr(tuple(x)) for x in jaccard.near_duplicates(df).collect()) == plain_components(docs)
 
 
+def test_names_that_fall_together(spark, odd):
+    r = random.Random(3)
+    docs = [*ODD, *((100 + k, " ".join(f"w{r.randrange(90)}" for _ in range(r.randint(1, 60)))) for k in range(60))]
+    source = spark.createDataFrame(docs, "key long, text string")
+    rows = jaccard.describe(source, jaccard.count_classes(source), 80, 100).withColumn("node", F.col("node").bitwiseAND(F.lit(7)))
+    ground = jaccard.Ground(source, jaccard.cut(rows))
+    assert ground.renamed == 1 and ground.rows.filter("n > 0").selectExpr("count(DISTINCT node) = count(DISTINCT check)").first()[0]
+    assert ground.members.count() == len({frozenset(jaccard.word_shingles(t)) for _, t in docs if t and t.split()})
+
+
+def test_words_decide():
+    join = jaccard.Join(80)
+    import pyarrow as pa
+
+    a = " ".join(f"w{k}" for k in range(13))
+    pairs = [(a, a), (a, a.upper().replace(" ", "\t")), (a, a + " x"), (a, a + " x y z"), ("one two", "ONE\x0btwo"), ("one", "two")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=["x", "y", "text1", "text2"])
+    got = [x for b in join._same_words([batch]) for x in b.column(0).to_pylist()]
+    assert got == [0, 1, 2, 4]
+    assert all(jaccard.word_shingles(t) == {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in (a, "a b", "é Ü x y z w") for w in [[x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))]])
+
+
+def test_unsure_pairs(spark, monkeypatch):
+    """With a margin that no pair reaches, every pair of larger sets is decided on words."""
+    monkeypatch.setattr(jaccard, "MARGIN", 10**6)
+    r = random.Random(12)
+    texts = [" ".join(f"w{r.randrange(4000)}" for _ in range(r.randint(90, 160))) for _ in range(12)]
+    texts += [edited(r, texts[k % 12], r.randint(0, 5)) for k in range(40)]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(repr(tuple(x)) for x in jaccard.near_duplicates(df).collect()) == plain_components(docs)
+
+
 def test_one_of_each_stays(spark, odd, empty):
     kept = jaccard.keep_one(odd.select("doc_id", "text"))
     assert kept.count() == len(ODD) - 1 and kept.columns == ["doc_id", "text"]
