@@ -1,4 +1,4 @@
-"""Language-model scores: stupid backoff over words and word pairs.
+"""Language-model scores: stupid backoff over n-grams of words, up to pairs unless more is asked.
 
 Three relations, all partitioned by hash and packed as arrays of sorted 64-bit
 n-gram hashes, so that an n-gram costs a few bytes on the wire:
@@ -14,8 +14,10 @@ A document is scored by what the other documents say: its own occurrences are
 taken off every count. With c' the count that is left and N' the words that are
 left, S(w | u) is c'(uw) / c'(u) where the pair is left, else ALPHA c'(w) / N'
 where the word is left, else ALPHA ** 2 / max(N', 1). The first word of a
-document has no pair: c'(w) / N', or ALPHA / max(N', 1). Each logarithm is
-rounded to millionths, so sums do not depend on their order.
+document has no pair: c'(w) / N', or ALPHA / max(N', 1). With a higher order the
+longest n-gram that is left counts, over its context, times ALPHA for each word
+that the longest possible one has more. Each logarithm is rounded to millionths,
+so sums do not depend on their order.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
 
@@ -34,40 +36,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerflow.llm import text as X
+from ledgerflow.runtime import cut
 
-ALPHA = 0.4
+ALPHA, ORDER = 0.4, 2
+#: Rows with the same key and text from which they are dealt to several blocks.
+REPEATED = 10_000
 #: Bytes of text in a block on average; the least number of blocks; n-grams in a part on average; the least number of parts.
 BLOCK, LEAST_BLOCKS = 6 << 20, 64
 PART, LEAST_PARTS = 1_500_000, 64
 
 
 class Grams:
-    """The words and word pairs of a block's texts."""
+    """The n-grams of one to `order` words of a block's texts."""
 
-    def __init__(self, column: pa.Array, parts: int):
+    def __init__(self, column: pa.Array, parts: int, order: int):
         hashes, counts = [], []
         for piece in X.slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
             words = X.Words(*X.utf8(piece.column(0)), X.LETTERS)
             hashes.append(words.hashes())
             counts.append(words.count)
-        self.word = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        word = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.n = len(word)
         self.count = np.concatenate([*counts, np.zeros(0, np.int64)])
         self.first = np.cumsum(self.count) - self.count
         self.text = np.repeat(np.arange(len(self.count)), self.count)
-        pair = np.zeros(len(self.word), np.uint64)
-        pair[1:] = X.mix(self.word[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.word[1:])
-        self.has_pair = np.ones(len(self.word), bool)
-        self.has_pair[self.first[self.count > 0]] = False
-        grams, self.gram_of, self.times = np.unique(np.concatenate([self.word, pair[self.has_pair]]), return_inverse=True, return_counts=True)
+        #: The place of each word in its text.
+        self.place = np.arange(self.n) - self.first[self.text]
+        #: For each order the words that end such an n-gram.
+        self.ends = [np.flatnonzero(self.place >= k) for k in range(order)]
+        levels, gram = [word], word
+        for k in range(1, order):
+            longer = np.zeros(self.n, np.uint64)
+            longer[1:] = X.mix(gram[:-1] * np.uint64(0xD6E8FEB86659FD93) + word[1:])
+            gram = longer
+            levels.append(gram[self.ends[k]])
+        grams, self.gram_of, self.times = np.unique(np.concatenate(levels), return_inverse=True, return_counts=True)
         part = (grams % np.uint64(parts)).astype(np.int64)
         #: Order by part and then hash, the order in which the n-grams are sent and counts come back.
         self.order = np.argsort(part, kind="stable")
         self.grams = grams
-        self.cut = np.searchsorted(part[self.order], np.arange(parts + 1))
+        #: The parts that hold n-grams of the block, and where each begins and ends in that order.
+        self.parts, begin = np.unique(part[self.order], return_index=True)
+        self.cut = np.append(begin, len(grams))
+
+    def sent(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each part and its n-grams; parts without any are left out, so the rows are never more than the n-grams."""
+        for k, part in enumerate(self.parts.tolist()):
+            yield part, self.order[self.cut[k] : self.cut[k + 1]]
+
+    def of_part(self, part: int) -> np.ndarray:
+        k = int(np.searchsorted(self.parts, part))
+        return self.order[self.cut[k] : self.cut[k + 1]]
+
+    def by_order(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values of the n-grams in gram_of's order, as one array over all words for each order; 0 where none ends."""
+        out, at = [], 0
+        for ends in self.ends:
+            level = np.zeros(self.n, values.dtype)
+            level[ends] = values[at : at + len(ends)]
+            out.append(level)
+            at += len(ends)
+        return out
 
     def own(self) -> np.ndarray:
         """For each place the count of its n-gram in its own text."""
-        of, text = self.gram_of, np.concatenate([self.text, self.text[self.has_pair]])
+        of, text = self.gram_of, np.concatenate([self.text[ends] for ends in self.ends])
         order = np.lexsort((of, text))
         g, t = of[order], text[order]
         new = np.ones(len(g), bool)
@@ -111,19 +144,24 @@ def _micro(x: np.ndarray) -> np.ndarray:
     return np.rint(np.log(x) * 1e6).astype(np.int64)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """Per document: key, n_words, n_backed_off (words whose pair is not left) and log_prob (in millionths)."""
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = ORDER) -> DataFrame:
+    """Per document: key, n_words, n_backed_off (words whose n-gram of `order` words is not left) and log_prob (in millionths)."""
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    same = F.xxhash64("key", "text")
+    if not source.groupBy(same.alias("same")).count().filter(F.col("count") > REPEATED).isEmpty():
+        # rows that repeat key and text so often would fill one block; their numbers are written, so that they stay what they are
+        source = cut(source.withColumn("row", F.monotonically_increasing_id()), "scoring-source")
+        same = F.xxhash64("key", "text", "row")
     size, = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK))
     parts = max(LEAST_PARTS, size // 8 // PART)
-    source = source.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int"))
+    source = source.select("key", "text", F.pmod(same, F.lit(blocks)).cast("int").alias("block"))
     kind = source.schema["key"].dataType.simpleString()
 
     def explode(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        grams = Grams(table.column("text").combine_chunks(), parts)
-        rows = [(p, block, _pack_sorted(grams.grams[o]), _pack(grams.times[o])) for p in range(parts) if len(o := grams.order[grams.cut[p] : grams.cut[p + 1]])]
+        grams = Grams(table.column("text").combine_chunks(), parts, order)
+        rows = [(p, block, _pack_sorted(grams.grams[o]), _pack(grams.times[o])) for p, o in grams.sent()]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "grams": pa.array([r[2] for r in rows], pa.binary()), "times": pa.array([r[3] for r in rows], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
@@ -139,24 +177,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     known = asked.groupBy("part").applyInArrow(count, "part int, block int, total binary")
 
     def sum_up(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text").combine_chunks(), parts)
+        grams = Grams(table.column("text").combine_chunks(), parts, order)
         total = np.zeros(len(grams.grams), np.int64)
         for p, packed in zip(counts.column("part").to_pylist(), counts.column("total").to_pylist()):
-            total[grams.order[grams.cut[p] : grams.cut[p + 1]]] = _unpack(packed)
-        left = total[grams.gram_of] - grams.own()
-        n = len(grams.word)
-        word, pair = left[:n], np.zeros(n, np.int64)
-        pair[grams.has_pair] = left[n:]
-        context = np.ones(n, np.int64)
-        context[1:] = word[:-1]
-        rest = (all_words - grams.count)[grams.text]
-        off = pair <= 0
-        weight = np.where(grams.has_pair, alpha, 1.0)
-        floor = np.maximum(rest, 1).astype(float)
-        prob = np.where(off, np.where(word > 0, weight * word / floor, weight * alpha / floor), pair / np.maximum(context, 1))
-        sums = np.zeros(len(grams.word) + 1, np.int64)
+            total[grams.of_part(p)] = _unpack(packed)
+        left = grams.by_order(total[grams.gram_of] - grams.own())
+        n = grams.n
+        # the longest n-gram that could end at each word
+        longest = np.minimum(grams.place + 1, order)
+        floor = np.maximum((all_words - grams.count)[grams.text], 1).astype(float)
+        weight = alpha ** (longest - 1.0)
+        prob = np.where(left[0] > 0, weight * left[0] / floor, weight * alpha / floor)
+        for k in range(1, order):
+            context = np.ones(n, np.int64)
+            context[1:] = np.maximum(left[k - 1][:-1], 1)
+            prob = np.where(left[k] > 0, alpha ** (longest - 1.0 - k) * left[k] / context, prob)
+        off = left[-1] <= 0
+        if order > 1:
+            off |= longest < order
+        sums = np.zeros(n + 1, np.int64)
         np.cumsum(_micro(prob), out=sums[1:])
-        backed = np.zeros(len(grams.word) + 1, np.int64)
+        backed = np.zeros(n + 1, np.int64)
         np.cumsum(off, out=backed[1:])
         a, b = grams.first, grams.first + grams.count
         return pa.table({"key": table.column("key"), "n_words": pa.array(grams.count, pa.int64()), "n_backed_off": pa.array(backed[b] - backed[a], pa.int64()), "log_prob": pa.array(sums[b] - sums[a], pa.int64())})

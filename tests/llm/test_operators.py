@@ -207,6 +207,21 @@ def test_shards(spark):
     assert parts.filter("n > 1").count() <= 5
 
 
+def test_shards_beside_columns_of_any_type(spark, tmp_path):
+    import zlib
+
+    rows = [(k, "x" * (k % 9) if k % 5 else None) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"uid": F.create_map(F.lit("a"), F.lit(1)), "hash": F.lit("h"), "shard": F.lit(9)})
+    got = {x["key"]: x for x in sharding.assign(docs, shards=3).collect()}
+    for k, t in rows:
+        data = (t or "").encode()
+        assert (got[k]["size"], got[k]["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+    # equal texts of small groups are together, and what comes before in the line comes before in the shards
+    assert len({x["shard"] for x in got.values()}) == 3
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", shards=3)
+    assert spark.read.parquet(f"file://{tmp_path}/shards").filter("uid['a'] = 1").count() == 200
+
+
 def test_shards_of_odd_texts(odd, empty, tmp_path, spark):
     got = sharding.assign(odd, shards=4).toPandas()
     check_shards(got, 4)
@@ -219,19 +234,23 @@ def test_shards_of_odd_texts(odd, empty, tmp_path, spark):
 # --- 4 scores ------------------------------------------------------------------------------------------------------
 
 
-def plain_scores(texts, alpha=0.4):
+def plain_scores(texts, alpha=0.4, order=2):
     from collections import Counter
 
     docs = [words(t) for t in texts]
-    one, two = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:]))
+    grams = lambda d, n: Counter(tuple(d[k : k + n]) for k in range(len(d) - n + 1))
+    every = [sum((grams(d, n) for d in docs), Counter()) for n in range(1, order + 1)]
     total, out = sum(map(len, docs)), []
     for d in docs:
-        o, t, rest, s, off = Counter(d), Counter(zip(d, d[1:])), max(1, total - len(d)), 0, 0
+        own = [grams(d, n) for n in range(1, order + 1)]
+        left = lambda g: every[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
+        rest, s, off = max(1, total - len(d)), 0, 0
         for k, w in enumerate(d):
-            pair = two[d[k - 1], w] - t[d[k - 1], w] if k else 0
-            weight = alpha if k else 1.0
-            off += pair <= 0
-            p = pair / (one[d[k - 1]] - o[d[k - 1]]) if pair > 0 else weight * (one[w] - o[w]) / rest if one[w] > o[w] else weight * alpha / rest
+            longest = min(order, k + 1)
+            known = [n for n in range(longest, 0, -1) if left(tuple(d[k - n + 1 : k + 1])) > 0]
+            off += not known or known[0] < order
+            n = known[0] if known else 0
+            p = alpha**longest / rest if not n else alpha ** (longest - 1) * left((w,)) / rest if n == 1 else alpha ** (longest - n) * left(tuple(d[k - n + 1 : k + 1])) / left(tuple(d[k - n + 1 : k]))
             s += int(np.rint(np.log(p) * 1e6))
         out.append((len(d), off, s))
     return out
@@ -246,6 +265,22 @@ def test_scores(spark, odd, empty):
     assert scoring.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_scores_of_other_orders(spark, order):
+    r = random.Random(14)
+    rows = [(k, " ".join(r.choice(["a", "b", "c"]) for _ in range(r.randint(0, 30)))) for k in range(40)]
+    got = sorted(tuple(x) for x in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), order=order).collect())
+    want = sorted((i, *s) for (i, _), s in zip(rows, plain_scores([t for _, t in rows], order=order)))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) <= 50 for a, b in zip(got, want))
+
+
+def test_scores_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "REPEATED", 5)
+    rows = [(1, "the same row")] * 300 + [(2, "the other row"), (3, None)]
+    got = sorted(tuple(x) for x in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, *s) for (i, _), s in zip(rows, plain_scores([t for _, t in rows])))
+
+
 def test_packing():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 1000):
