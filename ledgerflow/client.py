@@ -180,7 +180,7 @@ class Client:
             rows += page["rows"]
             after, more = page["next_row_ordinal"], page["has_more"]
         log = self._frame(me, rows)
-        if bundles.headers(log).first()["bundle_hash"] != header["bundle_hash"]:
+        if bundles.headers(log, self.service.names()).first()["bundle_hash"] != header["bundle_hash"]:
             raise SyncError("committed_bundle_hash_mismatch")
         # edits made since the freeze stay edits; their base moves to the committed version by itself
         state = cut(follower.apply(self.state(), log), "state")

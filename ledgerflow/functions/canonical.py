@@ -24,6 +24,19 @@ def _string(text: str) -> str:
     return '"' + _ESCAPED.sub(lambda m: _ESCAPES.get(m[0]) or f"\\u{ord(m[0]):04x}", text) + '"'
 
 
+quoted = _string
+
+
+def quoted_column(text: Column) -> Column:
+    """The text as a canonical JSON string, in JVM code; few texts need any escape."""
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    signs = [c for c in _ESCAPES if c != "\\"] + [chr(k) for k in range(32) if chr(k) not in _ESCAPES]
+    for sign in signs:
+        escaped = F.replace(escaped, F.lit(sign), F.lit(_string(sign)[1:-1]))
+    plain = ~text.rlike("[<>&\"\\\\\\u0000-\\u001f\\u2028\\u2029]")
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
+
+
 def number(value: float) -> str:
     if value != value or value in (float("inf"), float("-inf")):
         raise ValueError("not a finite number")
@@ -111,6 +124,21 @@ def canonical(payload: pd.Series) -> pd.Series:
     return payload.map(canonical_text, na_action=None).astype(object).where(payload.notna(), None)
 
 
+def with_null(payload: Column, name: str) -> Column:
+    """An object with one of its own fields set to null, canonical; nested fields of that name are left alone."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if not isinstance(t, str) else _with_null(t, name)).astype(object).where(texts.notna(), None)
+
+    return run(payload)
+
+
+def _with_null(text: str, name: str) -> str:
+    value = json.loads(text, parse_int=float)
+    return render(value | {name: None} if isinstance(value, dict) and name in value else value)
+
+
 @F.pandas_udf(T.BooleanType())
 def replay_equivalent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([equivalent_texts(None if x is pd.NA or x != x else x, None if y is pd.NA or y != y else y) for x, y in zip(a, b)])

@@ -7,8 +7,13 @@ transaction did to one row in the end; a bundle is the effects of a transaction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ledgerflow.functions.canonical import quoted, quoted_column
+
 INSERT, UPDATE, DELETE = 1, 2, 3
 
 ROW = ["user_pk", "table_id", "key_text"]
@@ -61,16 +66,29 @@ def op_code(name: Column) -> Column:
     return F.when(word == "INSERT", INSERT).when(word == "UPDATE", UPDATE).when(word == "DELETE", DELETE)
 
 
-def logical_row(ordinal: Column, table: Column, key: Column, op: Column, payload: Column) -> Column:
-    """One effect as canonical JSON, keys ascending; the ordinal counts from 0 here. Payloads are canonical JSON themselves."""
-    quoted = F.regexp_replace(F.regexp_replace(key, r"\\", r"\\\\"), '"', r'\\"')
-    return F.concat(F.lit('{"key":"'), quoted, F.lit('","op":"'), op_name(op), F.lit('","ordinal":'), (ordinal - 1).cast("string"), F.lit(',"payload":'), F.coalesce(payload, F.lit("null")), F.lit(',"table":'), table.cast("string"), F.lit("}"))
+def _by_table(table: Column, names: dict[int, tuple[str, str, str]], part: int, unknown: Column) -> Column:
+    """The canonical text of a table's namespace, name or key column."""
+    found = F.coalesce(*(F.when(table == k, F.lit(quoted(own[part]))) for k, own in names.items()), unknown) if names else unknown
+    return found
+
+
+def logical_row(ordinal: Column, table: Column, key: Column, op: Column, version: Column, payload: Column, names: dict[int, tuple[str, str, str]]) -> Column:
+    """One effect as canonical JSON, keys ascending; the ordinal counts from 0 here. Payloads are canonical JSON themselves.
 
+    `names` has namespace, name and key column of each table; a table without an
+    entry is public.table_N with the key id.
+    """
+    own = lambda part, unknown: _by_table(table, names, part, unknown)
+    return F.concat(
+        F.lit('{"key":{'), own(2, F.lit('"id"')), F.lit(":"), quoted_column(key), F.lit('},"op":"'), op_name(op), F.lit('","payload":'), F.coalesce(payload, F.lit("null")), F.lit(',"row_ordinal":'), (ordinal - 1).cast("string"),
+        F.lit(',"row_version":'), version.cast("string"), F.lit(',"schema":'), own(0, F.lit('"public"')), F.lit(',"table":'), own(1, F.concat(F.lit('"table_'), table.cast("string"), F.lit('"'))), F.lit("}"),
+    )
 
-def headers(log: DataFrame) -> DataFrame:
-    """Row count, byte count and SHA-256 of each bundle's logical rows."""
+
+def headers(log: DataFrame, names: dict[int, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Row count, byte count and SHA-256 of each bundle's logical rows; a row's version is its bundle's number."""
     body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ordinal", "line"))), lambda r: r["line"]), ","), F.lit("]"))
-    line = logical_row(F.col("row_ordinal"), F.col("table_id"), F.col("key_text"), F.col("op_code"), F.col("payload"))
+    line = logical_row(F.col("row_ordinal"), F.col("table_id"), F.col("key_text"), F.col("op_code"), F.col("bundle_seq"), F.col("payload"), names or {})
     built = log.withColumn("line", line).groupBy("user_pk", "bundle_seq").agg(F.count("*").alias("row_count"), body.alias("body"))
     return built.select("user_pk", "bundle_seq", "row_count", F.octet_length("body").cast("long").alias("byte_count"), F.sha2("body", 256).alias("bundle_hash"))
 
@@ -101,19 +119,38 @@ def committed(log: DataFrame) -> DataFrame:
     return log.groupBy("user_pk", "bundle_seq").agg(F.array_sort(F.collect_list(effect)).alias("rows"))
 
 
-def source_sequence(commits: DataFrame) -> DataFrame:
+def source_sequence(commits: DataFrame, pruned: int = 0) -> DataFrame:
     """Commits (user_pk, source_id, source_bundle_id, arrived) classified against the sequence each source must keep.
 
-    A number that came before is `already_committed`, one below the next
-    expected `history_pruned`, one above it `out_of_order`, else `next`. What a
-    source has reached is the count of accepted numbers, 1 to n without a gap.
+    Only the next expected number is accepted (`next`) and moves the sequence on.
+    A greater one is `out_of_order`. A smaller one was accepted before: it is
+    `already_committed`, or `history_pruned` where that commit is no longer kept
+    (numbers up to `pruned`). Numbers below 1 and null ones are `invalid`.
+
+    What is accepted depends on all that was before, so a source's commits pass
+    one task in order of arrival; it holds one number for the source.
     """
-    w = W.partitionBy("user_pk", "source_id").orderBy("arrived")
-    first = F.row_number().over(W.partitionBy("user_pk", "source_id", "source_bundle_id").orderBy("arrived")) == 1
-    # the numbers seen are gapless up to here if the largest is the count of distinct ones
-    seen = commits.withColumn("is_first", first)
-    distinct = F.sum(F.col("is_first").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    largest = F.max("source_bundle_id").over(w.rowsBetween(W.unboundedPreceding, 0))
-    expected = F.coalesce(F.max("source_bundle_id").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    status = F.when(~F.col("is_first"), "already_committed").when(F.col("source_bundle_id") < F.col("expected"), "history_pruned").when(F.col("source_bundle_id") > F.col("expected"), "out_of_order").otherwise("next")
-    return seen.withColumn("expected", expected).withColumn("gapless", distinct == largest).withColumn("status", status).drop("is_first")
+    fields = ["user_pk", "source_id", "source_bundle_id", "arrived"]
+    ordered = commits.select(*fields).repartition("user_pk", "source_id").sortWithinPartitions("user_pk", "source_id", "arrived", "source_bundle_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, reached = None, 0
+        for frame in frames:
+            expected, status = [], []
+            for *own, number in zip(frame["user_pk"], frame["source_id"], frame["source_bundle_id"]):
+                if own != source:
+                    source, reached = own, 0
+                expected.append(reached + 1)
+                if number == reached + 1:
+                    reached = int(number)
+                    status.append("next")
+                elif number > reached:
+                    status.append("out_of_order")
+                elif number >= 1:
+                    status.append("history_pruned" if number <= pruned else "already_committed")
+                else:
+                    status.append("invalid")
+            yield frame.assign(expected=expected, status=status)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
+    return ordered.mapInPandas(run, f"{kinds}, expected long, status string")

@@ -46,17 +46,30 @@ def first_conflicts(judged_rows: DataFrame, live: DataFrame, by: str = "push_id"
     return found.select(by, "req_ordinal", *ROW, "op", "base_row_version", F.coalesce("state_version", F.lit(0)).alias("server_row_version"), F.coalesce("state_deleted", F.lit(False)).alias("server_row_deleted"), F.when(alive, F.col("server_row")).alias("server_row"), "verdict")
 
 
-def rejection(registered: Column, schema: Column, table: Column, op: Column, key: Column, payload: Column, repeated: Column, key_column: str = "id") -> Column:
-    """Why a normalised push row is refused, first reason first; null if it is fine."""
+def rejection(registered: Column, schema: Column, table: Column, op: Column, key: Column, payload: Column, repeated: Column, key_column: str = "id", uuid_key: Column | None = None, binary: Column | None = None) -> Column:
+    """Why a normalised push row is refused, first reason first; null if it is fine.
+
+    A null schema, table or op is as invalid as a wrong one. `uuid_key` says
+    whether the table's keys are UUIDs, which must be spelled canonically;
+    `binary` names the table's binary columns (an array), whose values must be
+    null or base64 as an encoder spells it.
+    """
     names = F.json_object_keys(payload)
     in_payload = F.get_json_object(payload, f"$.{key_column}")
     has = lambda c: F.exists(names, c)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    values = F.from_json(payload, "map<string,string>")
+    encoded = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?$"
+    unlike = F.exists(binary, lambda n: F.element_at(values, n).isNotNull() & ~F.element_at(values, n).rlike(encoded)) if binary is not None else F.lit(False)
+    wrong_key = key.isNull() | (F.length(key) == 0)
+    if uuid_key is not None:
+        wrong_key = wrong_key | (F.coalesce(uuid_key, F.lit(False)) & ~key.rlike(CANONICAL_UUID))
     return (
-        F.when(~schema.rlike(IDENTIFIER), "invalid_schema")
-        .when(~table.rlike(IDENTIFIER), "invalid_table")
-        .when(~registered, "unregistered_table")
-        .when(~op.isin("INSERT", "UPDATE", "DELETE"), "invalid_op")
-        .when(key.isNull() | (F.length(key) == 0), "invalid_key")
+        F.when(no(schema.rlike(IDENTIFIER)), "invalid_schema")
+        .when(no(table.rlike(IDENTIFIER)), "invalid_table")
+        .when(no(registered), "unregistered_table")
+        .when(no(op.isin("INSERT", "UPDATE", "DELETE")), "invalid_op")
+        .when(wrong_key, "invalid_key")
         .when(repeated, "duplicate_target")
         .when((op == "DELETE") & payload.isNotNull(), "delete_with_payload")
         .when((op != "DELETE") & payload.isNull(), "payload_missing")
@@ -64,6 +77,7 @@ def rejection(registered: Column, schema: Column, table: Column, op: Column, key
         .when((op != "DELETE") & has(lambda n: F.lower(n) == "_sync_scope_id"), "hidden_column")
         .when((op != "DELETE") & in_payload.isNotNull() & (in_payload != key), "key_mismatch")
         .when((op != "DELETE") & has(lambda n: ~n.rlike(IDENTIFIER)), "invalid_column")
+        .when((op != "DELETE") & unlike, "invalid_binary")
     )
 
 

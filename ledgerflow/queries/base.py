@@ -51,7 +51,11 @@ LIVE = STATE + """, live AS (
 
 HALF = STATE.replace(" FROM events)", " FROM events WHERE event_id < (SELECT (max(event_id) // 1000 + 1) * 500 FROM events))")
 
-LINE = """'{"key":"' || key_text || '","op":"' || CASE op_code WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || '","ordinal":' || CAST(row_ordinal - 1 AS VARCHAR) || ',"payload":' || coalesce(payload, 'null') || ',"table":' || CAST(table_id AS VARCHAR) || '}'"""
+#: Namespace, name and key column of the feed's tables.
+NAMES = {1: ("public", "users", "id"), 2: ("public", "posts", "id"), 3: ("app", "files", "file_id")}
+
+LINE = """'{"key":{"' || CASE table_id WHEN 3 THEN 'file_id' ELSE 'id' END || '":"' || key_text || '"},"op":"' || CASE op_code WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || '","payload":' || coalesce(payload, 'null')
+  || ',"row_ordinal":' || CAST(row_ordinal - 1 AS VARCHAR) || ',"row_version":' || CAST(bundle_seq AS VARCHAR) || ',"schema":"' || CASE table_id WHEN 3 THEN 'app' ELSE 'public' END || '","table":"' || CASE table_id WHEN 1 THEN 'users' WHEN 2 THEN 'posts' ELSE 'files' END || '"}'"""
 
 HEADERS = LOG + f""", bodies AS (
   SELECT user_pk, bundle_seq, count(*) AS row_count, '[' || string_agg({LINE}, ',' ORDER BY row_ordinal) || ']' AS body FROM log GROUP BY user_pk, bundle_seq

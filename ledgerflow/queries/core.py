@@ -10,7 +10,7 @@ from ledgerflow.queries import base as B, query
 
 @query("flagship_bundles", f"WITH {B.HEADERS} SELECT * FROM headers")
 def flagship(spark, d):
-    return bundles.headers(B.log(spark, d))
+    return bundles.headers(B.log(spark, d), B.NAMES)
 
 
 @query("agg_01_net_effect", f"WITH {B.NET} SELECT * FROM net")
@@ -46,12 +46,12 @@ def row_state_advanced(spark, d):
 
 @query("agg_03_bundle_headers", f"WITH {B.HEADERS} SELECT user_pk, bundle_seq, row_count, byte_count FROM headers")
 def headers(spark, d):
-    return bundles.headers(B.log(spark, d)).drop("bundle_hash")
+    return bundles.headers(B.log(spark, d), B.NAMES).drop("bundle_hash")
 
 
 @query("prj_14_bundle_hash", f"WITH {B.HEADERS} SELECT user_pk, bundle_seq, bundle_hash FROM headers")
 def bundle_hash(spark, d):
-    return bundles.headers(B.log(spark, d)).select("user_pk", "bundle_seq", "bundle_hash")
+    return bundles.headers(B.log(spark, d), B.NAMES).select("user_pk", "bundle_seq", "bundle_hash")
 
 
 @query("prj_03_op_names", f"WITH {B.FEED} SELECT ord, CASE op WHEN 1 THEN 'INSERT' WHEN 2 THEN 'UPDATE' WHEN 3 THEN 'DELETE' END AS op_name, op AS op_code FROM feed")
@@ -80,11 +80,12 @@ def latest_seq(spark, d):
     return B.log(spark, d).groupBy("user_pk").agg(F.max("bundle_seq").alias("latest")).withColumn("next_bundle_seq", F.col("latest") + 1)
 
 
-_COMMITS = "commits AS (SELECT user_id % 16 AS user_pk, 's' || CAST(user_id % 3 AS VARCHAR) AS source_id, 1 + (event_id // 40) % 9 AS source_bundle_id, event_id AS arrived FROM events)"
+#: Numbers that come in time, late and again.
+_COMMITS = "commits AS (SELECT user_id % 16 AS user_pk, 's' || CAST(user_id % 3 AS VARCHAR) AS source_id, 1 + (event_id // 40 + event_id % 3) % 9 AS source_bundle_id, event_id AS arrived FROM events)"
 
 
 def commits(spark, d):
-    return B.table(spark, d, "events").selectExpr("user_id % 16 AS user_pk", "concat('s', user_id % 3) AS source_id", "1 + (event_id DIV 40) % 9 AS source_bundle_id", "event_id AS arrived")
+    return B.table(spark, d, "events").selectExpr("user_id % 16 AS user_pk", "concat('s', user_id % 3) AS source_id", "1 + (event_id DIV 40 + event_id % 3) % 9 AS source_bundle_id", "event_id AS arrived")
 
 
 @query("agg_09_next_source_bundle_id", f"WITH {_COMMITS} SELECT user_pk, source_id, max(source_bundle_id) + 1 AS next_source_bundle_id FROM commits GROUP BY user_pk, source_id")
@@ -94,12 +95,14 @@ def next_source(spark, d):
 
 @query(
     "win_07_source_sequence",
-    f"""WITH {_COMMITS}, f AS (SELECT *, row_number() OVER (PARTITION BY user_pk, source_id, source_bundle_id ORDER BY arrived) = 1 AS is_first FROM commits),
-    g AS (SELECT *, coalesce(max(source_bundle_id) OVER (PARTITION BY user_pk, source_id ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS expected FROM f)
-    SELECT user_pk, source_id, source_bundle_id, arrived, expected, CASE WHEN NOT is_first THEN 'already_committed' WHEN source_bundle_id < expected THEN 'history_pruned' WHEN source_bundle_id > expected THEN 'out_of_order' ELSE 'next' END AS status FROM g""",
+    # number n + 1 is accepted where it first arrives after number n was
+    f"""WITH RECURSIVE {_COMMITS}, accepted(user_pk, source_id, number, taken) AS (SELECT user_pk, source_id, CAST(1 AS BIGINT), min(arrived) FROM commits WHERE source_bundle_id = 1 GROUP BY user_pk, source_id
+      UNION ALL SELECT a.user_pk, a.source_id, a.number + 1, min(c.arrived) FROM accepted a JOIN commits c ON c.user_pk = a.user_pk AND c.source_id = a.source_id AND c.source_bundle_id = a.number + 1 AND c.arrived > a.taken GROUP BY a.user_pk, a.source_id, a.number),
+    g AS (SELECT c.user_pk, c.source_id, c.source_bundle_id, c.arrived, 1 + count(a.number) AS expected FROM commits c LEFT JOIN accepted a ON a.user_pk = c.user_pk AND a.source_id = c.source_id AND a.taken < c.arrived GROUP BY ALL)
+    SELECT user_pk, source_id, source_bundle_id, arrived, expected, CASE WHEN source_bundle_id > expected THEN 'out_of_order' WHEN source_bundle_id = expected THEN 'next' WHEN source_bundle_id <= 2 THEN 'history_pruned' ELSE 'already_committed' END AS status FROM g""",
 )
 def source_sequence(spark, d):
-    return bundles.source_sequence(commits(spark, d)).drop("gapless")
+    return bundles.source_sequence(commits(spark, d), pruned=2)
 
 
 @query("str_10_fresh_commits", f"WITH {_COMMITS} SELECT DISTINCT user_pk, source_id, source_bundle_id FROM commits")
@@ -213,7 +216,7 @@ def status_row(spark, d):
     log = B.log(spark, d)
     scopes = log.groupBy("user_pk").agg(F.max("bundle_seq").alias("latest")).withColumn("floor", F.when(F.col("user_pk") % 2 == 0, F.lit(2)).otherwise(F.lit(0)).cast("long"))
     sessions = B.table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("is_expired"))
-    return status.status(scopes, bundles.headers(log), bundles.row_state(log), sessions)
+    return status.status(scopes, bundles.headers(log, B.NAMES), bundles.row_state(log), sessions)
 
 
 @query("agg_05_health", "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'shutting_down' WHEN user_id % 7 = 0 THEN 'stopped' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM events GROUP BY user_id")

@@ -115,11 +115,9 @@ def shape_runs(spark, d):
     return conflicts.runs(B.log(spark, d), "row_ordinal", ["table_id", "op_code"], ["user_pk", "bundle_seq"]).select("user_pk", "bundle_seq", "row_ordinal", "run")
 
 
-for _name in ("win_05_chunks", "snk_02_staged_chunks"):
-
-    @query(_name, f"WITH {B.LOG} SELECT user_pk, bundle_seq, (row_ordinal - 1) // 7 AS chunk, count(*) AS n FROM log GROUP BY ALL")
-    def chunks(spark, d):
-        return paging.chunked(B.log(spark, d), "row_ordinal", 7).groupBy("user_pk", "bundle_seq", "chunk").agg(F.count("*").alias("n"))
+@query("win_05_chunks", f"WITH {B.LOG} SELECT user_pk, bundle_seq, (row_ordinal - 1) // 7 AS chunk, count(*) AS n FROM log GROUP BY ALL")
+def chunks(spark, d):
+    return paging.chunked(B.log(spark, d), "row_ordinal", 7).groupBy("user_pk", "bundle_seq", "chunk").agg(F.count("*").alias("n"))
 
 
 @query("win_06_increasing", "WITH x AS (SELECT user_id, event_id, event_id % 97 AS v, lag(event_id % 97) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id, NOT coalesce(bool_or(p IS NOT NULL AND v <= p), false) AS increasing, min(event_id) FILTER (WHERE p IS NOT NULL AND v <= p) AS first_bad FROM x GROUP BY user_id")

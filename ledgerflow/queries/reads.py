@@ -39,19 +39,31 @@ def scan_count(spark, d):
     return B.table(spark, d, "customer").agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("nations"))
 
 
-for _name in ("snk_01_partitioned_log", "snk_05_snapshot_rows"):
+def stored(df, by, name):
+    """Written in folders of `by` and read back. Rows are not dealt by it first, so a large folder is many files of many tasks."""
+    import uuid
 
-    @query(_name, f"WITH {B.LOG} SELECT * FROM log")
-    def partitioned_log(spark, d):
-        """Written by scope and read back."""
-        import uuid
+    from ledgerflow.runtime import shared_folder
 
-        from ledgerflow.runtime import shared_folder
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-        path = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-        log = B.log(spark, d)
-        log.repartition("user_pk").write.partitionBy("user_pk").parquet(path)
-        return spark.read.schema(log.schema).parquet(path)
+
+@query("snk_01_partitioned_log", f"WITH {B.LOG} SELECT * FROM log")
+def partitioned_log(spark, d):
+    return stored(B.log(spark, d), "user_pk", "log")
+
+
+@query("snk_02_staged_chunks", f"WITH {B.REQUESTS}, n AS (SELECT *, row_number() OVER (PARTITION BY push_id, user_pk ORDER BY req_ordinal) AS row_ordinal FROM requests) SELECT push_id, user_pk, (row_ordinal - 1) // 7 AS chunk, row_ordinal - 1 AS push_ordinal, table_id, key_text, op, base_row_version, payload FROM n")
+def staged_chunks(spark, d):
+    """The rows of every push, numbered and staged chunk by chunk."""
+    from pyspark.sql import Window as W
+
+    # a push is bounded by the protocol
+    numbered = B.requests(spark, d).withColumn("row_ordinal", F.row_number().over(W.partitionBy("push_id", "user_pk").orderBy("req_ordinal")).cast("long"))
+    staged = paging.chunked(numbered, "row_ordinal", 7).select("push_id", "user_pk", "chunk", (F.col("row_ordinal") - 1).alias("push_ordinal"), "table_id", "key_text", "op", "base_row_version", "payload")
+    return stored(staged, "chunk", "staged")
 
 
 _LIVE_PARTS = B.LIVE + ", rows AS (SELECT * FROM live WHERE NOT (user_pk = 2 AND key_text = 'k3') UNION ALL SELECT user_pk, table_id, 'extra', payload FROM live WHERE key_text = 'k5')"
@@ -95,6 +107,12 @@ for _name in ("op_10_snapshot", "win_03_snapshot_ordinals"):
     query(_name, f"WITH {_SNAPSHOT} SELECT * FROM snap")(snapshot)
 
 
+@query("snk_05_snapshot_rows", f"WITH {_SNAPSHOT} SELECT * FROM snap")
+def snapshot_rows(spark, d):
+    """A snapshot stored row by row, as a session keeps it for its chunks."""
+    return stored(snapshot(spark, d), "user_pk", "snapshot")
+
+
 @query("srt_05_snapshot_chunk", f"WITH {_SNAPSHOT} SELECT * FROM snap WHERE user_pk = 4 AND snapshot_ordinal > 5 ORDER BY snapshot_ordinal LIMIT 11")
 def snapshot_chunk(spark, d):
     return paging.keyset_page(snapshot(spark, d).filter("user_pk = 4"), "snapshot_ordinal", 5, 10)
@@ -218,8 +236,8 @@ def response_checks(spark, d):
 def push_round_trip(spark, d):
     """What was committed is fetched again, and its hash is computed anew and compared."""
     log = cut(B.log(spark, d))
-    sent = bundles.headers(log).select("user_pk", "bundle_seq", F.col("bundle_hash").alias("sent"))
-    fetched = bundles.headers(bundles.committed(log).select("user_pk", "bundle_seq", F.explode("rows").alias("r")).select("user_pk", "bundle_seq", "r.row_ordinal", "r.table_id", "r.key_text", bundles.op_code(F.col("r.op")).alias("op_code"), "r.payload"))
+    sent = bundles.headers(log, B.NAMES).select("user_pk", "bundle_seq", F.col("bundle_hash").alias("sent"))
+    fetched = bundles.headers(bundles.committed(log).select("user_pk", "bundle_seq", F.explode("rows").alias("r")).select("user_pk", "bundle_seq", "r.row_ordinal", "r.table_id", "r.key_text", bundles.op_code(F.col("r.op")).alias("op_code"), "r.payload"), B.NAMES)
     return sent.join(fetched, ["user_pk", "bundle_seq"]).select("user_pk", "bundle_seq", (F.col("sent") == F.col("bundle_hash")).alias("hash_matches"))
 
 

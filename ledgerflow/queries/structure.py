@@ -87,9 +87,21 @@ def catalog_check(spark, d):
     return specs.catalog_differences(expected, actual)
 
 
-@query("joi_12_foreign_key_columns", f"WITH {_EDGES} SELECT child, parent, count(*) AS n FROM edges GROUP BY child, parent")
+@query(
+    "joi_12_foreign_key_columns",
+    "SELECT * FROM (VALUES ('lineitem_part_fk', 'lineitem', 'part', '_sync_scope_id,l_partkey', '_sync_scope_id,p_partkey', CAST(2 AS BIGINT)), ('nation_region_fk', 'nation', 'region', '_sync_scope_id,n_regionkey', '_sync_scope_id,r_regionkey', 2), ('orders_customer_fk', 'orders', 'customer', 'o_custkey', 'c_custkey', 1)) AS t(constraint_name, child, parent, child_columns, parent_columns, n)",
+)
 def foreign_key_columns(spark, d):
-    return edges(spark).groupBy("child", "parent").agg(F.count("*").alias("n"))
+    """Both sides list their columns in any order; ordinals bring them together."""
+    child = spark.createDataFrame(
+        [("lineitem_part_fk", "lineitem", 2, "l_partkey"), ("lineitem_part_fk", "lineitem", 1, "_sync_scope_id"), ("nation_region_fk", "nation", 1, "_sync_scope_id"), ("nation_region_fk", "nation", 2, "n_regionkey"), ("orders_customer_fk", "orders", 1, "o_custkey"), ("orders_pkey", "orders", 1, "o_orderkey")],
+        "constraint_name string, child string, ordinal int, child_column string",
+    )
+    parent = spark.createDataFrame(
+        [("lineitem_part_fk", "part", 1, "_sync_scope_id"), ("lineitem_part_fk", "part", 2, "p_partkey"), ("nation_region_fk", "region", 2, "r_regionkey"), ("nation_region_fk", "region", 1, "_sync_scope_id"), ("orders_customer_fk", "customer", 1, "c_custkey")],
+        "constraint_name string, parent string, ordinal int, parent_column string",
+    )
+    return specs.foreign_key_columns(child, parent)
 
 
 @query("src_07_introspection", "SELECT CAST(ordinal_position AS INTEGER) AS ordinal, column_name FROM (VALUES (1, 'c_custkey'), (2, 'c_name'), (3, 'c_nationkey'), (4, 'c_acctbal'), (5, 'c_mktsegment')) AS t(ordinal_position, column_name)")

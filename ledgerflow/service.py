@@ -16,7 +16,7 @@ from copy import deepcopy
 from dataclasses import asdict
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerflow.functions import canonical
 from ledgerflow.operators import bundles, conflicts, follower, paging, snapshots
@@ -75,6 +75,10 @@ class Service:
         found = store.read(table, version)
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    def names(self) -> dict[int, tuple[str, str, str]]:
+        """What hashes name the tables by."""
+        return {k: (t.namespace, t.name, t.key) for k, t in self.tables.items()}
+
     def stop(self) -> None:
         self._running = False
 
@@ -125,7 +129,12 @@ class Service:
             staged = conflicts.normalized(self.spark.createDataFrame(plain, "ord int, schema string, table string, op string, key string, payload string"))
             again = conflicts.repeated_targets(staged, ["schema", "table", "key"])
             registered = F.concat_ws(".", "schema", "table").isin(*self.table_ids)
-            checked = staged.join(again, ["schema", "table", "key"], "left").withColumn("reason", conflicts.rejection(registered, F.col("schema"), F.col("table"), F.col("op"), F.col("key"), F.col("payload"), F.col("times").isNotNull()))
+            kinds = {name: [f.name for f in self.tables[k].schema if isinstance(f.dataType, T.BinaryType)] for name, k in self.table_ids.items()}
+            full = F.concat_ws(".", "schema", "table")
+            uuids = full.isin(*(n for n, k in self.table_ids.items() if self.tables[k].key_kind == "uuid"))
+            binary = F.coalesce(*(F.when(full == n, F.array(*map(F.lit, c)).cast("array<string>")) for n, c in kinds.items()))
+            reason = conflicts.rejection(registered, F.col("schema"), F.col("table"), F.col("op"), F.col("key"), F.col("payload"), F.col("times").isNotNull(), uuid_key=uuids, binary=binary)
+            checked = staged.join(again, ["schema", "table", "key"], "left").withColumn("reason", reason)
             if bad := checked.filter("reason IS NOT NULL").orderBy("ord").first():
                 raise SyncError("push_chunk_invalid", 400, ordinal=start + bad["ord"], reason=bad["reason"])
             good = checked.orderBy("ord").collect()
@@ -176,14 +185,15 @@ class Service:
 
     def _commit(self, store: Store, version: Version, actor: str, events: DataFrame, source: str, source_bundle_id: int) -> dict:
         rows = self._read(store, version, "rows", ROWS)
-        events = self._with_cascades(events, rows, actor)
+        # hashes are of canonical payloads
+        events = self._with_cascades(events.withColumn("payload", canonical.canonical("payload")), rows, actor)
         latest, floor = version.marks.get("seq", 0), version.info.get("floor", 0)
         log = cut(bundles.number(bundles.net(bundles.fold(events))).withColumn("bundle_seq", F.col("bundle_seq") + latest), "commit")
         if log.isEmpty():
             return {"status": "no_effects", "bundle_seq": latest}
         after = follower.apply(rows, log)
         self._check_references(after)
-        header = bundles.headers(log).withColumns({"source_id": F.lit(source), "source_bundle_id": F.lit(source_bundle_id).cast("long")})
+        header = bundles.headers(log, self.names()).withColumns({"source_id": F.lit(source), "source_bundle_id": F.lit(source_bundle_id).cast("long")})
         sources = self._sources(version)
         sources.commit(source, source_bundle_id)
         target = max(0, latest + 1 - self.retained)
@@ -214,7 +224,7 @@ class Service:
                 if action not in ("CASCADE", "SET NULL"):
                     continue
                 hit = now.filter((F.col("table_id") == child) & ~F.col("deleted")).join(front.filter(F.col("table_id") == parent).select("gone"), F.get_json_object("payload", f"$.{column}") == F.col("gone"), "left_semi")
-                cleared = F.regexp_replace("payload", f'"{column}":"[^"]*"', f'"{column}":null')
+                cleared = canonical.with_null(F.col("payload"), column)
                 found.append(hit.select(F.lit((1 << 40) * step).cast("long").alias("ord"), F.lit(actor).alias("user_pk"), F.lit(0).cast("long").alias("txid"), "table_id", "key_text", F.lit(3 if action == "CASCADE" else 2).alias("op"), (F.lit(None).cast("string") if action == "CASCADE" else cleared).alias("payload")))
             if not found:
                 break

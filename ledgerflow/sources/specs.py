@@ -109,6 +109,18 @@ def catalog_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "table_id", "full_outer").filter(~same)
 
 
+def foreign_key_columns(child: DataFrame, parent: DataFrame) -> DataFrame:
+    """Per foreign key its child and parent columns, the n-th of one side beside the n-th of the other.
+
+    `child` has constraint_name, child, ordinal and child_column, `parent` the
+    like; a constraint without a parent side is no foreign key.
+    """
+    met = child.join(parent, ["constraint_name", "ordinal"])
+    spelled = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda x: x[c]), ",").alias(f"{c}s")
+    # a key has as many columns as its table at most
+    return met.groupBy("constraint_name", "child", "parent").agg(spelled("child_column"), spelled("parent_column"), F.count("*").alias("n"))
+
+
 def columns_of(df: DataFrame) -> DataFrame:
     """Name, type, ordinal and nullability of each column."""
     return df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(df.schema.fields, 1)], "ordinal int, column_name string, data_type string, nullable boolean")

@@ -305,5 +305,40 @@ def test_events_on_the_wire():
 
 
 def test_source_sequence(spark):
-    commits = spark.createDataFrame([(1, "s", n, k) for k, n in enumerate([1, 2, 2, 5, 3])], "user_pk long, source_id string, source_bundle_id long, arrived long")
-    assert [r["status"] for r in bundles.source_sequence(commits).orderBy("arrived").collect()] == ["next", "next", "already_committed", "out_of_order", "history_pruned"]
+    """Only accepted numbers move the sequence: a refused one changes nothing."""
+    commits = spark.createDataFrame([(1, "s", n, k) for k, n in enumerate([1, 2, 2, 5, 3, 5, 1, 0, 4, 5])] + [(1, "t", 2, 0), (1, "t", 1, 1), (2, "s", 1, 0)], "user_pk long, source_id string, source_bundle_id long, arrived long")
+    got = bundles.source_sequence(commits, pruned=1).orderBy("user_pk", "source_id", "arrived").collect()
+    assert [r["status"] for r in got] == ["next", "next", "already_committed", "out_of_order", "next", "out_of_order", "history_pruned", "invalid", "next", "next", "out_of_order", "next", "next"]
+    assert [r["expected"] for r in got] == [1, 2, 3, 3, 3, 4, 4, 4, 4, 5, 1, 1, 1]
+
+
+def test_bundle_hash_is_of_whole_logical_rows(spark):
+    """The body written out by hand, with keys that need every kind of escape."""
+    import hashlib
+    import json
+
+    keys = ['a<b>&"c"', "line\nbreak\\  \x01\x1f", "é", ""]
+    log = spark.createDataFrame([(1, 7, k + 1, 3 if k == 3 else 2, x, 1 + k % 3, None if k == 2 else '{"n":1}') for k, x in enumerate(keys)], "user_pk long, bundle_seq long, row_ordinal long, table_id int, key_text string, op_code int, payload string")
+    got = bundles.headers(log, {2: ("public", "users", "id")}).first()
+    escaped = ['a\\u003cb\\u003e\\u0026\\"c\\"', "line\\nbreak\\\\ \\u2028\\u0001\\u001f", "é", ""]
+    ops, tables_ = ["INSERT", "UPDATE", "DELETE", "INSERT"], ["users", "users", "users", "table_3"]
+    body = "[" + ",".join(f'{{"key":{{"id":"{e}"}},"op":"{o}","payload":{"null" if k == 2 else chr(123) + chr(34) + "n" + chr(34) + ":1}"},"row_ordinal":{k},"row_version":7,"schema":"public","table":"{t}"}}' for k, (e, o, t) in enumerate(zip(escaped, ops, tables_))) + "]"
+    assert [x["key"]["id"] for x in json.loads(body)] == keys
+    assert (got["row_count"], got["byte_count"], got["bundle_hash"]) == (4, len(body.encode()), hashlib.sha256(body.encode()).hexdigest())
+
+
+def test_validation_of_nulls_keys_and_binary_values(spark):
+    good = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    cases = [
+        (None, "t", "INSERT", good, "{}", "invalid_schema"), ("s", None, "INSERT", good, "{}", "invalid_table"), ("s", "t", None, good, "{}", "invalid_op"), ("s", "t", "INSERT", good.upper(), "{}", "invalid_key"), ("s", "t", "INSERT", "k", "{}", "invalid_key"),
+        ("s", "t", "INSERT", good, '{"data":"aGk="}', None), ("s", "t", "INSERT", good, '{"data":null,"x":"?"}', None), ("s", "t", "INSERT", good, '{"data":"aGl="}', "invalid_binary"), ("s", "t", "INSERT", good, '{"data":"aGk"}', "invalid_binary"), ("s", "t", "DELETE", good, None, None),
+    ]
+    df = spark.createDataFrame(cases, "s string, t string, op string, k string, p string, want string")
+    reason = conflicts.rejection(F.lit(True), F.col("s"), F.col("t"), F.col("op"), F.col("k"), F.col("p"), F.lit(False), uuid_key=F.lit(True), binary=F.array(F.lit("data")))
+    assert rows(df.withColumn("got", reason).filter("NOT (got <=> want)")) == []
+
+
+def test_a_field_of_its_own_is_set_null(spark):
+    texts = [('{"a":"x\\"y","b":{"a":"z"}}', '{"a":null,"b":{"a":"z"}}'), ('{"b":1}', '{"b":1}'), (None, None)]
+    df = spark.createDataFrame(texts, "p string, want string")
+    assert rows(df.withColumn("got", canonical.with_null(F.col("p"), "a")).filter("NOT (got <=> want)")) == []
