@@ -119,7 +119,11 @@ def connect(spark, d):
     return found.select("user_id", lifecycle.connect_resolution(state, F.col("user_id") % 2 == 0, F.col("has_rows")).alias("resolution"))
 
 
-@query("op_11_source_rotation")
+_ROTATIONS = """(VALUES ('a', 'b', 'rotated', 'a:retired,b:reserved'), ('a', 'b', 'rotated', 'a:retired,b:reserved'), ('a', 'c', 'source_replacement_invalid', 'a:retired,b:reserved'),
+ ('b', 'c', 'rotated', 'a:retired,b:retired,c:reserved'), ('b', 'c', 'rotated', 'a:retired,b:retired,c:reserved')) AS r(previous, replacement, outcome, states)"""
+
+
+@query("op_11_source_rotation", f"SELECT CAST(scope AS INTEGER) AS scope, previous, replacement, outcome, states FROM range(4) AS s(scope), {_ROTATIONS}")
 def source_rotation(spark, d):
     """Rotations of many scopes' sources through the state machine, in order of arrival."""
     out = []
@@ -135,7 +139,11 @@ def source_rotation(spark, d):
     return spark.createDataFrame(out, "scope int, previous string, replacement string, outcome string, states string")
 
 
-@query("op_12_scope_lease")
+@query(
+    "op_12_scope_lease",
+    """SELECT CAST(now AS DOUBLE) AS now, source, has_rows, resolution, state, CAST(retry_after AS INTEGER) AS retry_after FROM (VALUES (0, 'a', true, 'initialize_local', 'INITIALIZING', NULL), (10, 'b', true, 'retry_later', 'INITIALIZING', 890),
+    (20, 'a', true, 'initialize_local', 'INITIALIZING', NULL), (2000, 'b', false, 'initialize_empty', 'INITIALIZED', NULL), (2001, 'a', true, 'remote_authoritative', 'INITIALIZED', NULL)) AS t(now, source, has_rows, resolution, state, retry_after)""",
+)
 def scope_lease(spark, d):
     out, scope = [], lifecycle.Scope()
     for now, source, rows in ((0.0, "a", True), (10.0, "b", True), (20.0, "a", True), (2000.0, "b", False), (2001.0, "a", True)):
@@ -144,7 +152,7 @@ def scope_lease(spark, d):
     return spark.createDataFrame(out, "now double, source string, has_rows boolean, resolution string, state string, retry_after int")
 
 
-@query("op_20_follower_lifecycle")
+@query("op_20_follower_lifecycle", "SELECT * FROM (VALUES ('attach', 'started_empty'), ('attach', 'already_attached'), ('detach', 'blocked_unsynced_data'), ('detach', 'detached')) AS t(operation, outcome)")
 def follower_lifecycle(spark, d):
     out, me = [], lifecycle.Follower()
     me, outcome = me.attach("u", "s", "initialize_empty")
@@ -159,7 +167,11 @@ def follower_lifecycle(spark, d):
     return spark.createDataFrame(out, "operation string, outcome string")
 
 
-@query("op_22_capabilities")
+@query(
+    "op_22_capabilities",
+    """SELECT * FROM (VALUES ('protocol_version', 'v1'), ('features', '(''connect_lifecycle'', ''bundle_push'', ''bundle_pull'', ''snapshot_chunks'', ''bundle_change_watch'')'), ('max_rows_per_bundle', '0'), ('max_bytes_per_bundle', '0'),
+    ('default_bundles_per_pull', '1000'), ('max_bundles_per_pull', '5000'), ('default_rows_per_chunk', '1000'), ('max_rows_per_chunk', '5000'), ('retained_bundles', '10000'), ('session_seconds', '900')) AS t(name, value)""",
+)
 def capabilities(spark, d):
     from dataclasses import asdict
 
