@@ -37,6 +37,26 @@ def judged(requests: DataFrame, state: DataFrame) -> DataFrame:
     return found.withColumn("verdict", verdict(F.col("op"), F.col("base_row_version"), F.col("state_version"), F.coalesce("state_deleted", F.lit(False))))
 
 
+def commit(requests: DataFrame, state: DataFrame, latest: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged pushes, one of each scope at most, against the state: what became of each, and the log rows of those committed.
+
+    `planned` (user_pk, push_id, planned) says how many rows each push has to
+    have; they are numbered from 0 without gaps. A push is `incomplete` if its
+    rows are not these, a `conflict` if any row's verdict is not ok, and else
+    `committed` as the bundle after the scope's latest (user_pk, latest; 0 if it
+    has none). Advance the state by the log rows.
+    """
+    push = ["user_pk", "push_id"]
+    sums = judged(requests, state).groupBy(*push).agg(F.count("*").alias("n_rows"), F.countDistinct("req_ordinal").alias("_n"), F.min("req_ordinal").alias("_low"), F.max("req_ordinal").alias("_high"), F.count_if(F.col("verdict") != "ok").alias("n_conflicts"))
+    whole = (F.col("n_rows") == F.col("planned")) & (F.col("_n") == F.col("n_rows")) & (F.col("_low") == 0) & (F.col("_high") == F.col("n_rows") - 1)
+    outcome = F.when(~F.coalesce(whole, F.lit(False)), "incomplete").when(F.col("n_conflicts") > 0, "conflict").otherwise("committed")
+    number = F.when(F.col("outcome") == "committed", F.coalesce("latest", F.lit(0)) + 1).cast("long")
+    told = planned.join(sums, push, "left").withColumn("outcome", outcome).join(latest, "user_pk", "left").select(*push, F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.coalesce("n_conflicts", F.lit(0)).cast("long").alias("n_conflicts"), "outcome", number.alias("bundle_seq"))
+    done = told.filter("outcome = 'committed'").select(*push, "bundle_seq")
+    log = requests.join(done, push).select("user_pk", "bundle_seq", (F.col("req_ordinal") + 1).alias("row_ordinal"), "table_id", "key_text", F.col("op").alias("op_code"), F.when(F.col("op") != DELETE, F.col("payload")).alias("payload"))
+    return told, log
+
+
 def first_conflicts(judged_rows: DataFrame, live: DataFrame, by: str = "push_id") -> DataFrame:
     """The first conflicting row of each push, which is rejected whole, with the server's row where that is live."""
     bad = judged_rows.filter("verdict <> 'ok'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerflow.operators import conflicts
+from ledgerflow.operators import bundles, conflicts
 from ledgerflow.operators.bundles import DELETE, ROW
 
 
@@ -28,6 +28,17 @@ def apply(state: DataFrame, log: DataFrame) -> DataFrame:
     return kept.unionByName(changed)
 
 
+def verified(received: DataFrame, announced: DataFrame, names: dict[int, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Announced bundles (user_pk, bundle_seq, row_count, announced hash) with what their received rows allow.
+
+    `row_count_mismatch` if rows are missing or too many, `hash_mismatch` if they
+    are not the rows that were committed, else `replayed`.
+    """
+    found = bundles.headers(received, names).select("user_pk", "bundle_seq", F.col("row_count").alias("_rows"), F.col("bundle_hash").alias("_hash"))
+    outcome = F.when(~F.col("_rows").eqNullSafe(F.col("row_count")), "row_count_mismatch").when(F.col("_hash") != F.col("announced"), "hash_mismatch").otherwise("replayed")
+    return announced.join(found, ["user_pk", "bundle_seq"], "left").withColumn("outcome", outcome).drop("_rows", "_hash")
+
+
 def checkpoint(seen: DataFrame, log: DataFrame) -> DataFrame:
     """Per scope the last bundle number up to which no number is missing, from a checkpoint (user_pk, seq) on.
 

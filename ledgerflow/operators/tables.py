@@ -83,3 +83,38 @@ def cascade(deleted: DataFrame, edges: list[tuple[str, str, str, str]], tables:
             gone = found.filter("effect = 'DELETE'").select("table_name", "key_text", F.lit("SET NULL").alias("effect"))
             return found.join(gone, ["table_name", "key_text", "effect"], "left_anti").select("table_name", "key_text", "effect", "depth")
         found = cut(found.union(front), "cascade")
+
+
+def cascade_updates(changed: DataFrame, edges: list[tuple[str, str, str, str]], tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """Columns that change when keys change (table_name, old_key, new_key), by foreign keys (child, child column, parent, action).
+
+    Returns table_name, key_text (the key before), column, new_value and depth.
+    `CASCADE` follows the parent's new key, `SET NULL` clears the column; other
+    actions change nothing. A child whose key is the column that changed hands
+    its own change on. Each key changes once, so cycles end.
+    """
+    spark = changed.sparkSession
+    keyed = {(c, column): tables[c].schema[column].dataType.simpleString() == "string" for c, column, *_ in edges}
+    front = cut(changed.select("table_name", F.col("old_key").cast("string").alias("old_key"), F.col("new_key").cast("string").alias("new_key")), "cascade")
+    moved, found, depth = front, None, 0
+    while not front.isEmpty():
+        depth += 1
+        steps = None
+        for child, column, parent, action in edges:
+            if action not in ("CASCADE", "SET NULL"):
+                continue
+            kind = tables[child].schema[column].dataType
+            gone = front.filter(F.col("table_name") == parent).select((F.col("old_key") if keyed[child, column] else F.col("old_key").try_cast(kind)).alias("_old"), "new_key")
+            hit = tables[child].join(gone, F.col(column) == F.col("_old"))
+            value = F.col("new_key") if action == "CASCADE" else F.lit(None).cast("string")
+            step = hit.select(F.lit(child).alias("table_name"), F.col(keys[child]).cast("string").alias("key_text"), F.lit(column).alias("column"), value.alias("new_value"), F.lit(depth).alias("depth"))
+            steps = step if steps is None else steps.unionByName(step)
+        if steps is None:
+            break
+        more = cut(steps if found is None else steps.join(found.select("table_name", "key_text", "column"), ["table_name", "key_text", "column"], "left_anti"), "cascade")
+        key_column = F.coalesce(*(F.when(F.col("table_name") == t, F.lit(k)) for t, k in keys.items()))
+        rekeyed = more.filter((F.col("column") == key_column) & F.col("new_value").isNotNull()).select("table_name", F.col("key_text").alias("old_key"), F.col("new_value").alias("new_key"))
+        front = cut(rekeyed.join(moved.select("table_name", "old_key"), ["table_name", "old_key"], "left_anti"), "cascade")
+        moved = moved.unionByName(front)
+        found = more if found is None else found.unionByName(more)
+    return spark.createDataFrame([], "table_name string, key_text string, column string, new_value string, depth int") if found is None else found

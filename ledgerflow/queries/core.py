@@ -131,8 +131,68 @@ def dirty(spark, d):
     return capture.coalesce_dirty(edits(spark, d), bundles.row_state(bundles.bundle(B.first_half(spark, d))))
 
 
-for _name in ("agg_11_dirty_coalescing", "joi_02_dirty_with_state", "win_09_dirty_ordinals", "op_21_client_capture"):
-    query(_name, f"WITH {_DIRTY} SELECT * FROM dirty")(dirty)
+query("agg_11_dirty_coalescing", f"WITH {_DIRTY} SELECT * FROM dirty")(dirty)
+
+
+@query("joi_02_dirty_with_state", f"WITH {_DIRTY} SELECT user_pk, table_id, key_text, base_row_version, state_exists, state_deleted FROM dirty")
+def dirty_with_state(spark, d):
+    """Each dirty row beside the state of the row that it is based on."""
+    return capture.fold_edits(edits(spark, d), bundles.row_state(bundles.bundle(B.first_half(spark, d)))).select(*bundles.ROW, "base_row_version", "state_exists", "state_deleted")
+
+
+_LATER = f"""{_DIRTY}, whole AS (WITH {B.STATE} SELECT * FROM state), middle AS (SELECT max(event_id) * 3 // 4 AS m FROM events),
+ e1 AS (SELECT user_pk, table_id, key_text, min(ord) AS first_ordinal FROM edits, middle WHERE ord < m GROUP BY ALL),
+ held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_pk ORDER BY first_ordinal) AS dirty_ordinal FROM e1) WHERE key_text <> 'k3'),
+ e2 AS (SELECT user_pk, table_id, key_text, min(ord) AS first_ordinal FROM edits, middle WHERE ord >= m GROUP BY ALL),
+ top AS (SELECT user_pk, max(dirty_ordinal) AS reached FROM held GROUP BY user_pk),
+ added AS (SELECT e2.*, coalesce(reached, 0) + row_number() OVER (PARTITION BY e2.user_pk ORDER BY e2.first_ordinal) AS dirty_ordinal FROM e2 ANTI JOIN held USING (user_pk, table_id, key_text) LEFT JOIN top USING (user_pk))"""
+
+
+@query(
+    "win_09_dirty_ordinals",
+    f"WITH {_LATER} SELECT user_pk, table_id, key_text, coalesce(s.bundle_seq, 0) AS base_row_version, dirty_ordinal FROM held LEFT JOIN state s USING (user_pk, table_id, key_text) UNION ALL SELECT user_pk, table_id, key_text, coalesce(w.bundle_seq, 0), dirty_ordinal FROM added LEFT JOIN whole w USING (user_pk, table_id, key_text)",
+)
+def dirty_ordinals(spark, d):
+    """Edits go on after some rows were settled and the state moved on: rows still dirty keep base and ordinal, others follow the greatest."""
+    made = edits(spark, d)
+    middle = B.table(spark, d, "events").agg(F.expr("max(event_id) * 3 DIV 4")).first()[0]
+    held = capture.coalesce_dirty(made.filter(F.col("ord") < middle), bundles.row_state(bundles.bundle(B.first_half(spark, d)))).filter("key_text <> 'k3'")
+    return capture.accumulate_dirty(held, made.filter(F.col("ord") >= middle), bundles.row_state(B.log(spark, d))).select(*bundles.ROW, "base_row_version", "dirty_ordinal")
+
+
+_WRITES = """writes AS (SELECT user_id % 16 AS user_pk, CAST(1 + event_id % 3 AS INTEGER) AS table_id, CASE WHEN event_type <> 'signup' THEN 'k' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) END AS old_key,
+ CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'm' ELSE 'k' END || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) END AS new_key, CASE WHEN event_type <> 'error' THEN replace(props, ' ', '') END AS payload,
+ event_id AS ord, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS apply_mode, event_id % 11 = 0 AS pending FROM events WHERE event_id >= (SELECT (max(event_id) // 1000 + 1) * 500 FROM events))"""
+
+
+def writes(spark, d):
+    """Statements on local tables: inserts, updates (some of keys) and deletes, some by the engine, some during a transition."""
+    found = B.table(spark, d, "events").filter(F.col("event_id") >= B._middle(spark, d))
+    return found.selectExpr(
+        "user_id % 16 AS user_pk", "CAST(1 + event_id % 3 AS INT) AS table_id", "CASE WHEN event_type <> 'signup' THEN concat('k', CAST(floor(value) AS BIGINT) % 10) END AS old_key",
+        "CASE WHEN event_type <> 'error' THEN concat(CASE WHEN event_id % 5 = 0 THEN 'm' ELSE 'k' END, CAST(floor(value) AS BIGINT) % 10) END AS new_key", "CASE WHEN event_type <> 'error' THEN replace(props, ' ', '') END AS payload",
+        "event_id AS ord", "CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS apply_mode", "event_id % 11 = 0 AS pending",
+    )
+
+
+@query(
+    "op_21_client_capture",
+    f"""WITH {B.HALF}, {_WRITES}, allowed AS (SELECT * FROM writes WHERE apply_mode = 0 AND NOT pending),
+    edits AS (SELECT user_pk, table_id, old_key AS key_text, 2 * ord AS ord, 3 AS op, NULL AS payload FROM allowed WHERE old_key IS NOT NULL AND old_key IS DISTINCT FROM new_key
+      UNION ALL SELECT user_pk, table_id, new_key, 2 * ord + 1, 2, payload FROM allowed WHERE new_key IS NOT NULL),
+    e AS (SELECT user_pk, table_id, key_text, min(ord) AS first_ordinal, arg_max(op, ord) AS last_op, arg_max_null(payload, ord) AS payload FROM edits GROUP BY user_pk, table_id, key_text)
+    SELECT user_pk, table_id, key_text, CASE WHEN last_op = 3 THEN 3 WHEN NOT coalesce(s.deleted, true) THEN 2 ELSE 1 END AS op, coalesce(s.bundle_seq, 0) AS base_row_version, CASE WHEN last_op <> 3 THEN e.payload END AS payload,
+      row_number() OVER (PARTITION BY user_pk ORDER BY first_ordinal) AS dirty_ordinal FROM e LEFT JOIN state s USING (user_pk, table_id, key_text)""",
+)
+def client_capture(spark, d):
+    allowed = capture.write_guard(writes(spark, d)).filter("reason IS NULL")
+    found = capture.coalesce_dirty(capture.captured(allowed), bundles.row_state(bundles.bundle(B.first_half(spark, d))))
+    return found.select(*bundles.ROW, "op", "base_row_version", "payload", "dirty_ordinal")
+
+
+@query("op_21b_write_guard", f"WITH {_WRITES} SELECT ord, CASE WHEN pending AND apply_mode <> 1 THEN 'transition_pending' END AS reason FROM writes")
+def write_guard(spark, d):
+    return capture.write_guard(writes(spark, d)).select("ord", "reason")
 
 
 _RANKS = "(VALUES (1, 3), (2, 1), (3, 2)) AS t(table_id, table_rank)"
@@ -191,6 +251,24 @@ def table_diff(spark, d):
     return capture.diff(*versions(spark, d), key="o_orderkey")
 
 
+@query(
+    "op_01b_scope_guard",
+    """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey % 3 AS VARCHAR) AS scope, o_orderstatus AS v FROM orders),
+    n AS (SELECT id, CASE WHEN id % 19 = 0 THEN '2' ELSE scope END AS scope, CASE WHEN id % 5 = 0 THEN 'X' ELSE v END AS v FROM o WHERE id % 17 <> 0
+      UNION ALL SELECT id + 100000000, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '1' ELSE '2' END, v FROM o WHERE id % 23 = 0),
+    x AS (SELECT coalesce(o.id, n.id) AS id, o.id IS NULL AS born, n.id IS NULL AS gone, o.scope AS a, n.scope AS b, o.v AS va, n.v AS vb FROM o FULL OUTER JOIN n ON o.id = n.id)
+    SELECT id, CAST(1 AS INTEGER) AS op_code, CASE WHEN coalesce(b, '') = '' THEN '1' ELSE b END AS scope, CASE WHEN coalesce(b, '') NOT IN ('', '1') THEN 'scope_mismatch' END AS reason FROM x WHERE born
+    UNION ALL SELECT id, 3, a, CASE WHEN a <> '1' THEN 'scope_mismatch' END FROM x WHERE gone
+    UNION ALL SELECT id, 2, b, CASE WHEN a <> '1' THEN 'scope_mismatch' WHEN a <> b THEN 'scope_mutation' END FROM x WHERE NOT born AND NOT gone AND (a <> b OR va <> vb)""",
+)
+def scope_guard(spark, d):
+    """Writes of an actor for scope 1 to a table with rows of three scopes."""
+    old = B.table(spark, d, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 3 AS STRING) AS scope", "o_orderstatus AS v")
+    kept = old.filter("id % 17 <> 0").selectExpr("id", "CASE WHEN id % 19 = 0 THEN '2' ELSE scope END AS scope", "CASE WHEN id % 5 = 0 THEN 'X' ELSE v END AS v")
+    born = old.filter("id % 23 = 0").selectExpr("id + 100000000 AS id", "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '1' ELSE '2' END AS scope", "v")
+    return capture.scope_guard(old, kept.unionByName(born), "id", "scope", "1").select("id", "op_code", "scope", "reason")
+
+
 @query("src_10_existing_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS key_text, 1 AS op, CAST(0 AS BIGINT) AS base_row_version, CAST(json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey) AS VARCHAR) AS payload FROM nation")
 def existing_rows(spark, d):
     return capture.existing_as_inserts(B.table(spark, d, "nation"), "n_nationkey")

@@ -223,29 +223,86 @@ def cascade(spark, d):
     return tables.cascade(gone, edges, {t: B.table(spark, d, t) for t in names}, names)
 
 
-@query("flt_08_response_checks", f"WITH {B.LOG}, x AS (SELECT user_pk, bundle_seq, op_code, payload, lag(bundle_seq) OVER (PARTITION BY user_pk ORDER BY bundle_seq, row_ordinal) AS p FROM log) SELECT user_pk, bool_and(p IS NULL OR bundle_seq >= p) AS ordered, bool_and(bundle_seq <= 1000) AS below_ceiling, bool_and((op_code = 3) = (payload IS NULL)) AS payloads_fit FROM x GROUP BY user_pk")
-def response_checks(spark, d):
-    from pyspark.sql import Window as W
+@query(
+    "dml_07b_update_cascade",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey + 1000000000 AS n FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT s_suppkey AS k, n FROM supplier JOIN c ON s_suppkey = c.k)
+    SELECT 'orders' AS table_name, CAST(o_orderkey AS VARCHAR) AS key_text, 'o_custkey' AS "column", CAST(n AS VARCHAR) AS new_value, 1 AS depth FROM orders JOIN c ON o_custkey = k
+    UNION ALL SELECT 'supplier', CAST(k AS VARCHAR), 's_suppkey', CAST(n AS VARCHAR), 1 FROM s
+    UNION ALL SELECT 'lineitem', l_orderkey || '-' || l_linenumber, 'l_suppkey', NULL, 2 FROM lineitem JOIN s ON l_suppkey = k""",
+)
+def update_cascade(spark, d):
+    """Customers get other keys; suppliers are customers by key, and line items lose their supplier."""
+    names = {"customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "line"}
+    edges = [("orders", "o_custkey", "customer", "CASCADE"), ("supplier", "s_suppkey", "customer", "CASCADE"), ("lineitem", "l_suppkey", "supplier", "SET NULL"), ("orders", "o_orderkey", "customer", "NO ACTION")]
+    found = {t: B.table(spark, d, t) for t in ("customer", "supplier", "orders")}
+    found["lineitem"] = B.table(spark, d, "lineitem").selectExpr("concat(l_orderkey, '-', l_linenumber) AS line", "l_suppkey")
+    changed = found["customer"].filter("c_custkey % 10 = 0").selectExpr("'customer' AS table_name", "c_custkey AS old_key", "c_custkey + 1000000000 AS new_key")
+    return tables.cascade_updates(changed, edges, found, names)
+
 
-    previous = F.lag("bundle_seq").over(W.partitionBy("user_pk").orderBy("bundle_seq", "row_ordinal"))
-    rows = B.log(spark, d).withColumn("p", previous)
-    return rows.groupBy("user_pk").agg(F.bool_and(F.col("p").isNull() | (F.col("bundle_seq") >= F.col("p"))).alias("ordered"), F.bool_and(F.col("bundle_seq") <= 1000).alias("below_ceiling"), F.bool_and((F.col("op_code") == 3) == F.col("payload").isNull()).alias("payloads_fit"))
+@query("flt_08_response_checks", f"WITH {B.LOG}, x AS (SELECT user_pk, bundle_seq, row_ordinal, op_code, payload, count(*) OVER (PARTITION BY user_pk, bundle_seq) AS n, max(row_ordinal) OVER (PARTITION BY user_pk, bundle_seq) AS top, dense_rank() OVER (PARTITION BY user_pk ORDER BY bundle_seq) AS place FROM log) SELECT user_pk, bool_and(n = top) AND bool_and(place = bundle_seq) AS ordered, bool_and(bundle_seq <= 1000) AS below_ceiling, bool_and((op_code = 3) = (payload IS NULL)) AS payloads_fit FROM x GROUP BY user_pk")
+def response_checks(spark, d):
+    """Bundles and their rows are numbered without gaps or repeats, below the ceiling, and deletes alone have no payload."""
+    fits = (F.col("op_code") == 3) == F.col("payload").isNull()
+    bundle = B.log(spark, d).groupBy("user_pk", "bundle_seq").agg(F.count("*").alias("n"), F.countDistinct("row_ordinal").alias("u"), F.min("row_ordinal").alias("low"), F.max("row_ordinal").alias("high"), F.bool_and(fits).alias("fits"))
+    whole = (F.col("n") == F.col("u")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    found = bundle.groupBy("user_pk").agg(F.bool_and(whole).alias("whole"), F.count("*").alias("n"), F.min("bundle_seq").alias("low"), F.max("bundle_seq").alias("high"), F.bool_and("fits").alias("payloads_fit"))
+    return found.select("user_pk", (F.col("whole") & (F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("ordered"), (F.col("high") <= 1000).alias("below_ceiling"), "payloads_fit")
 
 
-@query("op_15_push_round_trip", f"WITH {B.HEADERS} SELECT user_pk, bundle_seq, true AS hash_matches FROM headers")
+@query("op_15_push_round_trip", f"WITH {B.HEADERS} SELECT user_pk, bundle_seq, row_count, bundle_hash AS announced, CASE WHEN bundle_seq % 5 = 0 AND row_count > 1 THEN 'hash_mismatch' WHEN bundle_seq % 7 = 0 THEN 'row_count_mismatch' ELSE 'replayed' END AS outcome FROM headers")
 def push_round_trip(spark, d):
-    """What was committed is fetched again, and its hash is computed anew and compared."""
-    log = cut(B.log(spark, d))
-    sent = bundles.headers(log, B.NAMES).select("user_pk", "bundle_seq", F.col("bundle_hash").alias("sent"))
-    fetched = bundles.headers(bundles.committed(log).select("user_pk", "bundle_seq", F.explode("rows").alias("r")).select("user_pk", "bundle_seq", "r.row_ordinal", "r.table_id", "r.key_text", bundles.op_code(F.col("r.op")).alias("op_code"), "r.payload"), B.NAMES)
-    return sent.join(fetched, ["user_pk", "bundle_seq"]).select("user_pk", "bundle_seq", (F.col("sent") == F.col("bundle_hash")).alias("hash_matches"))
+    """Committed bundles are written, fetched, and checked against what the commit announced.
+
+    On the way, the first two rows of some bundles change places, and others lose their last row.
+    """
+    fetched = stored(B.log(spark, d), "user_pk", "round-trip")
+    announced = bundles.headers(B.log(spark, d), B.NAMES).select("user_pk", "bundle_seq", "row_count", F.col("bundle_hash").alias("announced"))
+    swapped = F.when((F.col("bundle_seq") % 5 == 0) & (F.col("row_count") > 1) & (F.col("row_ordinal") <= 2), 3 - F.col("row_ordinal")).otherwise(F.col("row_ordinal"))
+    received = fetched.join(announced.select("user_pk", "bundle_seq", "row_count"), ["user_pk", "bundle_seq"]).withColumn("row_ordinal", swapped)
+    received = received.filter((F.col("bundle_seq") % 7 != 0) | ((F.col("bundle_seq") % 5 == 0) & (F.col("row_count") > 1)) | (F.col("row_ordinal") < F.col("row_count"))).drop("row_count")
+    return follower.verified(received, announced, B.NAMES).select("user_pk", "bundle_seq", "row_count", "announced", "outcome")
+
+
+_PUSHES = f"""WITH {B.HALF}, {B.REQUESTS}, firsts AS (SELECT user_pk, min(push_id) AS push_id FROM requests GROUP BY user_pk),
+ rows_ AS (SELECT user_pk, push_id, table_id, key_text, arg_max(op, req_ordinal) AS wanted, arg_max_null(payload, req_ordinal) AS payload, min(req_ordinal) AS first FROM requests JOIN firsts USING (user_pk, push_id) GROUP BY ALL),
+ staged AS (SELECT r.user_pk, push_id, table_id, key_text, r.payload, CASE WHEN s.bundle_seq IS NULL OR s.deleted THEN 1 WHEN wanted = 1 THEN 2 ELSE wanted END AS op, coalesce(s.bundle_seq, 0) - CASE WHEN r.user_pk % 4 = 3 AND s.bundle_seq IS NOT NULL THEN 1 ELSE 0 END AS base_row_version,
+   row_number() OVER (PARTITION BY r.user_pk ORDER BY first) - 1 AS req_ordinal, s.bundle_seq AS version, coalesce(s.deleted, false) AS deleted FROM rows_ r LEFT JOIN state s USING (user_pk, table_id, key_text)),
+ told AS (SELECT user_pk, push_id, count(*) AS n_rows, count(*) FILTER (WHERE base_row_version <> coalesce(version, 0)) AS n_conflicts, user_pk % 4 = 2 AS short FROM staged GROUP BY ALL),
+ latest AS (SELECT user_pk, max(bundle_seq) AS latest FROM log GROUP BY user_pk),
+ ended AS (SELECT *, CASE WHEN short THEN 'incomplete' WHEN n_conflicts > 0 THEN 'conflict' ELSE 'committed' END AS outcome FROM told)"""
+
+
+def staged(spark, d):
+    """The first push of each scope: one row for each key, with stale bases in some scopes and a row too few in others."""
+    log = bundles.bundle(B.first_half(spark, d))
+    state = bundles.row_state(log)
+    found = B.requests(spark, d)
+    found = found.join(found.groupBy("user_pk").agg(F.min("push_id").alias("push_id")), ["user_pk", "push_id"])
+    one = found.groupBy("user_pk", "push_id", "table_id", "key_text").agg(F.max_by("op", "req_ordinal").alias("wanted"), F.max_by("payload", "req_ordinal").alias("payload"), F.min("req_ordinal").alias("first"))
+    known = one.join(state, bundles.ROW, "left")
+    op = F.expr("CASE WHEN bundle_seq IS NULL OR deleted THEN 1 WHEN wanted = 1 THEN 2 ELSE wanted END")
+    base = F.expr("coalesce(bundle_seq, 0) - CASE WHEN user_pk % 4 = 3 AND bundle_seq IS NOT NULL THEN 1 ELSE 0 END")
+    rows = paging.ordinals(known.withColumns({"op": op, "base_row_version": base}), "user_pk", ["first"], "place")
+    rows = rows.select("user_pk", "push_id", (F.col("place") - 1).alias("req_ordinal"), "table_id", "key_text", "op", "base_row_version", "payload")
+    planned = rows.groupBy("user_pk", "push_id").agg((F.count("*") + F.expr("max(CASE WHEN user_pk % 4 = 2 THEN 1 ELSE 0 END)")).alias("planned"))
+    return rows, state, log.groupBy("user_pk").agg(F.max("bundle_seq").alias("latest")), planned
+
+
+@query("op_06_push_commit", f"{_PUSHES} SELECT user_pk, push_id, n_rows, n_conflicts, outcome, CASE WHEN outcome = 'committed' THEN latest + 1 END AS bundle_seq FROM ended JOIN latest USING (user_pk)")
+def push_commit(spark, d):
+    """A push is committed only if it is whole and none of its rows conflicts."""
+    return conflicts.commit(*staged(spark, d))[0]
 
 
-@query("op_06_push_commit", f"WITH {B.JUDGED} SELECT push_id, count(*) AS n_rows, CAST(sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS n_conflicts, CAST(sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) = 0 AS committed FROM judged GROUP BY push_id")
-def push_commit(spark, d):
-    """A push is committed only if none of its rows conflicts."""
-    found = conflicts.judged(B.requests(spark, d), bundles.row_state(bundles.bundle(B.first_half(spark, d))))
-    return found.groupBy("push_id").agg(F.count("*").alias("n_rows"), F.count_if(F.expr("verdict <> 'ok'")).alias("n_conflicts")).withColumn("committed", F.col("n_conflicts") == 0)
+@query(
+    "op_06b_state_after_push",
+    f"{_PUSHES}, done AS (SELECT user_pk, table_id, key_text, latest + 1 AS bundle_seq, op = 3 AS deleted FROM staged JOIN ended USING (user_pk, push_id) JOIN latest USING (user_pk) WHERE outcome = 'committed') SELECT * FROM done UNION ALL SELECT user_pk, table_id, key_text, bundle_seq, deleted FROM state ANTI JOIN done USING (user_pk, table_id, key_text)",
+)
+def state_after_push(spark, d):
+    """Committed pushes move the state on; the others leave it alone."""
+    rows, state, latest, planned = staged(spark, d)
+    return bundles.advance(state, conflicts.commit(rows, state, latest, planned)[1])
 
 
 @query("op_02_server_bundle", f"WITH {_CHANGES} SELECT op_code, count(*) AS n FROM chg GROUP BY op_code")

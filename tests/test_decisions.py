@@ -342,3 +342,48 @@ def test_a_field_of_its_own_is_set_null(spark):
     texts = [('{"a":"x\\"y","b":{"a":"z"}}', '{"a":null,"b":{"a":"z"}}'), ('{"b":1}', '{"b":1}'), (None, None)]
     df = spark.createDataFrame(texts, "p string, want string")
     assert rows(df.withColumn("got", canonical.with_null(F.col("p"), "a")).filter("NOT (got <=> want)")) == []
+
+
+def test_scope_guard(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "a", "x"), (4, "b", "x"), (5, "a", "x"), (6, "b", "x")], "id int, scope string, v string")
+    new = spark.createDataFrame([(1, "a", "y"), (2, "b", "y"), (3, "b", "x"), (5, "a", "x"), (6, "b", "x"), (7, None, "n"), (8, "", "n"), (9, "b", "n")], "id int, scope string, v string")
+    found = capture.scope_guard(old, new, "id", "scope", "a")
+    assert rows(found, "id", "op_code", "scope", "reason") == [
+        (1, 2, "a", None), (2, 2, "b", "scope_mismatch"), (3, 2, "b", "scope_mutation"), (4, 3, "b", "scope_mismatch"), (7, 1, "a", None), (8, 1, "a", None), (9, 1, "b", "scope_mismatch"),
+    ]
+    assert {r["reason"] for r in capture.scope_guard(old, new, "id", "scope", None).collect()} == {"no_bundle_context"}
+
+
+def test_captured_writes_go_on_a_dirty_set(spark):
+    schema = "user_pk int, table_id int, old_key string, new_key string, payload string, ord long, apply_mode int, pending boolean"
+    writes = spark.createDataFrame([(1, 1, "a", "b", "{1}", 1, 0, False), (1, 1, None, "c", "{2}", 2, 0, None), (1, 1, "d", None, None, 3, 0, False), (1, 1, "e", "e", "{3}", 4, 1, True), (1, 1, "f", "f", "{4}", 5, 0, True), (1, 1, "c", "c", "{5}", 6, None, False)], schema)
+    assert [r["ord"] for r in capture.write_guard(writes).filter("reason IS NOT NULL").collect()] == [5]
+    edits = capture.captured(capture.write_guard(writes).filter("reason IS NULL"))
+    assert rows(edits, "ord", "key_text", "op", "payload") == [(13, "c", 2, "{5}"), (2, "a", 3, None), (3, "b", 2, "{1}"), (5, "c", 1, "{2}"), (6, "d", 3, None)]
+    state = spark.createDataFrame([(1, 1, "a", 7, False), (1, 1, "d", 8, False), (1, 1, "c", 9, True)], "user_pk int, table_id int, key_text string, bundle_seq long, deleted boolean")
+    held = capture.coalesce_dirty(edits, state).filter("key_text <> 'b'")
+    assert rows(held, "dirty_ordinal", "key_text", "op", "base_row_version") == [(1, "a", 3, 7), (3, "c", 1, 9), (4, "d", 3, 8)]
+    later = state.filter("key_text <> 'a'").unionByName(spark.createDataFrame([(1, 1, "a", 20, False), (1, 1, "z", 21, False)], state.schema))
+    more = spark.createDataFrame([(1, 1, "a", 30, 2, "{6}"), (1, 1, "z", 31, 2, "{7}"), (1, 1, "b", 32, 1, "{8}")], "user_pk int, table_id int, key_text string, ord long, op int, payload string")
+    found = capture.accumulate_dirty(held, more, later)
+    assert rows(found, "dirty_ordinal", "key_text", "op", "base_row_version", "payload") == [(1, "a", 2, 7, "{6}"), (3, "c", 1, 9, "{5}"), (4, "d", 3, 8, None), (5, "z", 2, 21, "{7}"), (6, "b", 1, 0, "{8}")]
+
+
+def test_key_changes_cascade_and_end_in_a_cycle(spark):
+    a = spark.createDataFrame([("1", "9"), ("2", "1")], "id string, b_id string")
+    b = spark.createDataFrame([(1, "1", "x"), (2, None, "x")], "id int, a_id string, other string")
+    edges = [("a", "id", "b", "CASCADE"), ("b", "id", "a", "CASCADE"), ("b", "a_id", "a", "SET NULL"), ("a", "b_id", "b", "RESTRICT")]
+    changed = spark.createDataFrame([("a", "1", "5")], "table_name string, old_key string, new_key string")
+    found = tables.cascade_updates(changed, edges, {"a": a, "b": b}, {"a": "id", "b": "id"})
+    assert rows(found, "depth", "table_name", "key_text", "column", "new_value") == [(1, "b", "1", "a_id", None), (1, "b", "1", "id", "5"), (2, "a", "1", "id", "5")]
+    assert tables.cascade_updates(changed, edges[3:], {"a": a, "b": b}, {"a": "id", "b": "id"}).isEmpty()
+
+
+def test_pushes_commit_whole_or_not_at_all(spark):
+    state = spark.createDataFrame([(1, 1, "a", 4, False), (2, 1, "a", 4, False)], "user_pk int, table_id int, key_text string, bundle_seq long, deleted boolean")
+    requests = spark.createDataFrame([(1, 7, 0, 1, "a", 2, 4, "{}"), (1, 7, 1, 1, "b", 1, 0, "{}"), (2, 8, 0, 1, "a", 3, 3, None), (3, 9, 1, 1, "a", 1, 0, "{}")], "user_pk int, push_id int, req_ordinal long, table_id int, key_text string, op int, base_row_version long, payload string")
+    latest = spark.createDataFrame([(1, 4), (2, 4)], "user_pk int, latest long")
+    planned = spark.createDataFrame([(1, 7, 2), (2, 8, 1), (3, 9, 1), (4, 10, 1)], "user_pk int, push_id int, planned int")
+    told, log = conflicts.commit(requests, state, latest, planned)
+    assert rows(told) == [(1, 7, 2, 0, "committed", 5), (2, 8, 1, 1, "conflict", None), (3, 9, 1, 0, "incomplete", None), (4, 10, 0, 0, "incomplete", None)]
+    assert rows(bundles.advance(state, log)) == [(1, 1, "a", 5, False), (1, 1, "b", 5, False), (2, 1, "a", 4, False)]
