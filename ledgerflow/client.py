@@ -9,9 +9,12 @@ rebasing is replacing state, and no edit is ever rewritten.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +25,7 @@ from ledgerflow.plans.lifecycle import Follower, SyncError
 from ledgerflow.runtime import cut
 from ledgerflow.service import ROWS, Service, _floats
 from ledgerflow.sources.store import Store
+from ledgerflow.streaming import loops
 
 EDITS = "ord long, user_pk string, table_id int, key_text string, op int, payload string"
 Resolver = Callable[[dict], "str | tuple[str, dict]"]
@@ -35,10 +39,24 @@ def client_wins(conflict: dict) -> str:
     return "keep_local"
 
 
+def _alone(operation):
+    """One operation of a client at a time, whichever thread it comes from."""
+
+    @wraps(operation)
+    def run(self, *a, **b):
+        with self._lock:
+            return operation(self, *a, **b)
+
+    return run
+
+
 class Client:
     def __init__(self, spark: SparkSession, service: Service, root: str, source: str | None = None, resolver: Resolver = server_wins, auto_retries: int = 2, chunk: int = 1000):
         self.spark, self.service, self.resolver, self.auto_retries, self.chunk = spark, service, resolver, auto_retries, chunk
         self.store = Store(spark, root)
+        self._lock, self._stop = threading.RLock(), threading.Event()
+        self.uploads_paused, self.downloads_paused = threading.Event(), threading.Event()
+        self.transfers, self._threads, self._notices = Counter(), [], None
         if "me" not in self.store.latest().info:
             self._save(Follower(source=source or str(uuid.uuid4())), sent=0, next_source_bundle_id=1)
         order = graph.parents_first(service.table_ids, [(self.service.tables[c].full_name, self.service.tables[p].full_name) for c, p, _, _ in service._references()])
@@ -71,7 +89,7 @@ class Client:
 
     def pending(self, up_to: int | None = None) -> DataFrame:
         """Dirty rows: op and base version as they follow from the state."""
-        return capture.without_noops(capture.coalesce_dirty(self._edits(up_to), self.state()))
+        return capture.without_noops(capture.fold_edits(self._edits(up_to), self.state()))
 
     def rows(self) -> DataFrame:
         """What a reader sees: the authoritative copy with local edits over it."""
@@ -90,6 +108,7 @@ class Client:
 
     # --- local edits -----------------------------------------------------------------------------------------------
 
+    @_alone
     def write(self, changes: list[tuple[str, str, dict | None]]) -> None:
         """Local edits (table, key, payload; None deletes), in order, in one transaction."""
         version = self.store.latest()
@@ -99,6 +118,7 @@ class Client:
 
     # --- lifecycle -------------------------------------------------------------------------------------------------
 
+    @_alone
     def attach(self, user: str) -> str:
         me = Follower(**self.store.latest().info["me"])
         edits = self._table("edits", EDITS)
@@ -112,6 +132,7 @@ class Client:
             self.rebuild(keep_edits=True)
         return outcome
 
+    @_alone
     def detach(self) -> str:
         me, outcome = self.me.detach()
         if outcome == "detached":
@@ -119,29 +140,38 @@ class Client:
             self._save(replace(me, source=str(uuid.uuid4())), replace_={"state": empty, "edits": self.spark.createDataFrame([], EDITS)}, sent=0, ord=0, next_source_bundle_id=1)
         return outcome
 
+    @_alone
     def sync_then_detach(self) -> str:
         self.sync()
         return self.detach()
 
+    @_alone
     def uninstall(self) -> None:
         if self.detach() != "detached":
             raise SyncError("blocked_unsynced_data")
 
     # --- push ------------------------------------------------------------------------------------------------------
 
+    @_alone
     def push_pending(self) -> str:
-        """Send all pending edits as one bundle: `nothing`, or `pushed`. Conflicts go to the resolver, a few times."""
+        """Send all pending edits as one bundle: `nothing`, or `pushed`. Conflicts go to the resolver, a few times.
+
+        `skipped_paused` while uploads are paused.
+        """
+        if self.uploads_paused.is_set():
+            return "skipped_paused"
         for attempt in range(self.auto_retries + 1):
             me = self.me
             me.may("push")
             info = self.store.latest().info
             frozen = info.get("ord", 0)
             ranks = self.spark.createDataFrame(self._ranks, "table_id int, table_rank int")
-            outbox = cut(capture.send_order(self.pending(frozen), ranks), "outbox")
+            outbox = cut(capture.send_order(self.pending(frozen), ranks, "first_ordinal"), "outbox")
             total = outbox.count()
             if not total:
                 return "nothing"
             number = info["next_source_bundle_id"]
+            self.transfers["push_sessions"] += 1
             session = self.service.create_push_session(me.user, me.source, number, total, info.get("initialization_id"))
             try:
                 header = session if session["status"] == "already_committed" else self._upload(me, session["push_id"], outbox, total)
@@ -162,6 +192,7 @@ class Client:
             for r in part:
                 spec = self.service.tables[r["table_id"]]
                 rows.append({"schema": spec.namespace, "table": spec.name, "key": {spec.key: r["key_text"]}, "op": {1: "INSERT", 2: "UPDATE", 3: "DELETE"}[r["op"]], "base_row_version": r["base_row_version"], "payload": None if r["payload"] is None else json.loads(r["payload"])})
+            self.transfers["push_chunks"] += 1
             self.service.upload_push_chunk(me.user, push_id, at, rows)
         return self.service.commit_push_session(me.user, push_id)
 
@@ -176,6 +207,7 @@ class Client:
             return
         rows, after, more = [], -1, True
         while more:
+            self.transfers["committed_chunks"] += 1
             page = self.service.committed_bundle_rows(me.user, header["bundle_seq"], after, self.chunk)
             rows += page["rows"]
             after, more = page["next_row_ordinal"], page["has_more"]
@@ -214,8 +246,14 @@ class Client:
 
     # --- pull ------------------------------------------------------------------------------------------------------
 
+    @_alone
     def pull_to_stable(self, max_bundles: int | None = None) -> str:
-        """Bundles up to the ceiling of the first page; `rebuilt` if the log no longer reaches back."""
+        """Bundles up to the ceiling of the first page; `rebuilt` if the log no longer reaches back.
+
+        `skipped_paused` while downloads are paused.
+        """
+        if self.downloads_paused.is_set():
+            return "skipped_paused"
         me = self.me
         me.may("pull")
         target = 0
@@ -239,12 +277,14 @@ class Client:
             if not page["has_more"]:
                 return "pulled"
 
+    @_alone
     def rebuild(self, keep_edits: bool = False, replace_source: str | None = None) -> str:
         """State from a snapshot. A rotated source (reason: its history is gone) starts a new sequence."""
         me = self.me
         if not keep_edits and not replace_source:
             me.may("rebuild")
         rotation = None if not replace_source else (me.source, replace_source, "history_pruned")
+        self.transfers["snapshot_sessions"] += 1
         session = self.service.create_snapshot_session(me.user, replace_source=rotation)
         snap = self.service.snapshot_frame(me.user, session["snapshot_id"])
         found = snap.select("user_pk", "table_id", "key_text", F.col("row_version").alias("bundle_seq"), F.lit(False).alias("deleted"), "payload")
@@ -255,9 +295,72 @@ class Client:
         self.service.delete_snapshot_session(me.user, session["snapshot_id"])
         return "rebuilt"
 
+    @_alone
     def sync(self) -> tuple[str, str]:
         return self.push_pending(), self.pull_to_stable()
 
+    # --- background ------------------------------------------------------------------------------------------------
+
+    def pause_uploads(self) -> None:
+        self.uploads_paused.set()
+
+    def resume_uploads(self) -> None:
+        self.uploads_paused.clear()
+
+    def pause_downloads(self) -> None:
+        self.downloads_paused.set()
+
+    def resume_downloads(self) -> None:
+        self.downloads_paused.clear()
+
+    def _upload_step(self) -> bool:
+        self.push_pending()
+        return False
+
+    def _download_step(self) -> bool:
+        return self.pull_to_stable() in ("pulled", "rebuilt")
+
+    def _watch_step(self, fallback: float) -> bool:
+        """Wait for a notice, then pull; pull as well if none came in time, as notices may be lost."""
+        if self._notices is None:
+            me = Follower(**self.store.latest().info["me"])
+            me.may("watch")
+            self._notices = self.service.subscribe(me.user, me.last_seen)
+        notice = self._notices.wait(fallback)
+        if not self._stop.is_set():
+            try:
+                self.pull_to_stable()
+            except Exception:
+                # what was told is not there yet: the next subscription tells it again
+                self._unsubscribe()
+                raise
+        return notice is not None
+
+    def _unsubscribe(self) -> None:
+        notices, self._notices = self._notices, None
+        if notices:
+            notices.close()
+
+    def start(self, watch: bool = True, least: float = loops.LEAST, most: float = loops.MOST, fallback: float = loops.FALLBACK) -> None:
+        """Push and pull in the background until stop(). With `watch`, pulls follow the service's notices."""
+        if self._threads:
+            raise SyncError("already_started")
+        self._stop.clear()
+        download = (lambda: self._watch_step(fallback)) if watch else self._download_step
+        self.loops = {"upload": loops.Loop(self._upload_step, self.uploads_paused, least, most), "download": loops.Loop(download, self.downloads_paused, least, most)}
+        self._threads = [threading.Thread(target=x.run, args=(self._stop,), name=name, daemon=True) for name, x in self.loops.items()]
+        for thread in self._threads:
+            thread.start()
+
+    def stop(self) -> None:
+        """Ends the loops after what they are at."""
+        self._stop.set()
+        self._unsubscribe()
+        for thread in self._threads:
+            thread.join()
+        self._unsubscribe()
+        self._threads = []
+
     # --- reports ---------------------------------------------------------------------------------------------------
 
     def pending_sync_status(self) -> dict:
@@ -270,6 +373,14 @@ class Client:
         one = self.spark.range(1).select(status.authority(F.lit(me.last_seen > 0), F.lit(me.dirty), F.lit(live)))
         return {"authority": one.first()[0], "last_bundle_seq_seen": me.last_seen} | self.pending_sync_status()
 
+    def transfer_diagnostics(self, reset: bool = False) -> dict:
+        """How many sessions were created and chunks moved since the client was made, or since the last reset."""
+        names = ("push_sessions", "push_chunks", "committed_chunks", "snapshot_sessions")
+        found = {name: self.transfers[name] for name in names}
+        if reset:
+            self.transfers.clear()
+        return found
+
     def source_info(self) -> dict:
         info = self.store.latest().info
         return {"source_id": info["me"]["source"], "next_source_bundle_id": info["next_source_bundle_id"], "rebuild_required": info["me"]["rebuild_required"]}

@@ -18,6 +18,7 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ledgerflow import metrics
 from ledgerflow.functions import canonical
 from ledgerflow.operators import bundles, conflicts, follower, paging, snapshots
 from ledgerflow.plans import lifecycle
@@ -25,6 +26,7 @@ from ledgerflow.plans.lifecycle import SyncError
 from ledgerflow.runtime import cut
 from ledgerflow.sources import specs
 from ledgerflow.sources.store import Store, Version
+from ledgerflow.streaming.loops import Hub, Subscription
 
 LOG = "user_pk string, bundle_seq long, row_ordinal long, table_id int, key_text string, op_code int, payload string"
 HEADERS = "user_pk string, bundle_seq long, row_count long, byte_count long, bundle_hash string, source_id string, source_bundle_id long"
@@ -33,7 +35,7 @@ EVENTS = "ord long, user_pk string, txid long, table_id int, key_text string, op
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, tables: list[specs.TableSpec], clock: Callable[[], float] = time.time, retained: int = paging.RETAINED, prune_batch: int = paging.PRUNE_BATCH):
+    def __init__(self, spark: SparkSession, root: str, tables: list[specs.TableSpec], clock: Callable[[], float] = time.time, retained: int = paging.RETAINED, prune_batch: int = paging.PRUNE_BATCH, recorder: metrics.Recorder | None = None):
         for table in tables:
             specs.check(table)
         if wrong := specs.check_foreign_keys(tables):
@@ -45,6 +47,7 @@ class Service:
         self.retained, self.prune_batch = retained, prune_batch
         self._pushes: dict[str, lifecycle.PushSession] = {}
         self._snapshots: dict[str, tuple[str, DataFrame, float]] = {}
+        self.hub, self.recorder = Hub(), recorder
         self._running = True
 
     # --- state of a scope ------------------------------------------------------------------------------------------
@@ -186,13 +189,17 @@ class Service:
     def _commit(self, store: Store, version: Version, actor: str, events: DataFrame, source: str, source_bundle_id: int) -> dict:
         rows = self._read(store, version, "rows", ROWS)
         # hashes are of canonical payloads
-        events = self._with_cascades(events.withColumn("payload", canonical.canonical("payload")), rows, actor)
+        with metrics.stage(self.recorder, "commit", "cascade"):
+            events = self._with_cascades(events.withColumn("payload", canonical.canonical("payload")), rows, actor)
         latest, floor = version.marks.get("seq", 0), version.info.get("floor", 0)
-        log = cut(bundles.number(bundles.net(bundles.fold(events))).withColumn("bundle_seq", F.col("bundle_seq") + latest), "commit")
-        if log.isEmpty():
+        with metrics.stage(self.recorder, "commit", "fold") as timing:
+            log = cut(bundles.number(bundles.net(bundles.fold(events))).withColumn("bundle_seq", F.col("bundle_seq") + latest), "commit")
+            timing.count = log.count()
+        if not timing.count:
             return {"status": "no_effects", "bundle_seq": latest}
         after = follower.apply(rows, log)
-        self._check_references(after)
+        with metrics.stage(self.recorder, "commit", "references"):
+            self._check_references(after)
         header = bundles.headers(log, self.names()).withColumns({"source_id": F.lit(source), "source_bundle_id": F.lit(source_bundle_id).cast("long")})
         sources = self._sources(version)
         sources.commit(source, source_bundle_id)
@@ -203,7 +210,10 @@ class Service:
         if new_floor > floor:
             keep = lambda name, schema, more: self._read(store, version, name, schema).filter(F.col("bundle_seq") > new_floor).unionByName(more)
             kept = {"log": keep("log", LOG, log), "headers": keep("headers", HEADERS, header)}
-        done = store.commit(version, append={} if kept else {"log": log, "headers": header}, replace={"rows": after, **kept}, marks={"seq": latest + 1}, info=info)
+        with metrics.stage(self.recorder, "commit", "write") as written:
+            written.count = timing.count
+            done = store.commit(version, append={} if kept else {"log": log, "headers": header}, replace={"rows": after, **kept}, marks={"seq": latest + 1}, info=info)
+        self.hub.publish(actor, latest + 1)
         return {"status": "committed"} | self._read(store, done, "headers", HEADERS).filter(F.col("bundle_seq") == latest + 1).first().asDict()
 
     def _references(self):
@@ -287,6 +297,16 @@ class Service:
         latest = version.marks.get("seq", 0)
         return {"bundle_seq": latest} if latest > after else None
 
+    def subscribe(self, actor: str, after: int = 0) -> Subscription:
+        """Notices of bundles above `after`; those there are already come at once."""
+        one = self.hub.join(actor, after)
+        try:
+            one.offer(self._ready(actor)[1].marks.get("seq", 0))
+        except SyncError:
+            one.close()
+            raise
+        return one
+
     def create_snapshot_session(self, actor: str, max_rows: int = 0, replace_source: tuple[str, str, str] | None = None) -> dict:
         store, version = self._ready(actor)
         if replace_source:
@@ -294,7 +314,8 @@ class Service:
             sources.rotate(*replace_source)
             version = store.commit(version, info={"sources": asdict(sources)})
         rows = self._read(store, version, "rows", ROWS)
-        snap = cut(snapshots.materialize(rows.filter("NOT deleted").select("user_pk", "table_id", "key_text", "payload"), rows.drop("payload")), "snapshot")
+        with metrics.stage(self.recorder, "snapshot", "materialize"):
+            snap = cut(snapshots.materialize(rows.filter("NOT deleted").select("user_pk", "table_id", "key_text", "payload"), rows.drop("payload")), "snapshot")
         sizes = snapshots.within_limits(snap, max_rows).first()
         snapshot_id = str(uuid.uuid4())
         self._snapshots[snapshot_id] = (actor, snap, self.clock() + self.capabilities.session_seconds)

@@ -1,5 +1,8 @@
 """Followers and the service end to end."""
 
+import threading
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F, types as T
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 from ledgerflow.client import Client, client_wins
 from ledgerflow.plans.lifecycle import SyncError
 from ledgerflow.service import EVENTS, Service
+from ledgerflow.streaming import loops
 from ledgerflow.sources.specs import SCOPE, ForeignKey, SpecError, TableSpec
 
 USERS = TableSpec("users", "id", T.StructType().add(SCOPE, "string").add("id", "string").add("name", "string"))
@@ -170,3 +174,82 @@ def test_server_writes_and_snapshots(world, spark):
 def test_bad_tables_are_refused(spark, tmp_path):
     with pytest.raises(SpecError):
         Service(spark, f"file://{tmp_path}", [POSTS])
+
+
+def test_paused_and_background_work(world):
+    service, make, _ = world
+    timings = []
+    service.recorder = timings.append
+    a, b = make("a"), make("b")
+    a.write([user("u1"), post("p1", "u1"), post("p2", "u1")])
+    a.attach("me")
+    a.pause_uploads(), a.pause_downloads()
+    assert a.sync() == ("skipped_paused", "skipped_paused") and a.pending_sync_status()["pending_row_count"] == 3
+    a.resume_uploads(), a.resume_downloads()
+    assert a.sync() == ("pushed", "up_to_date")
+    assert a.transfer_diagnostics(reset=True) == {"push_sessions": 1, "push_chunks": 2, "committed_chunks": 2, "snapshot_sessions": 0}
+    assert not any(a.transfer_diagnostics().values())
+    assert {(t.operation, t.stage, t.error) for t in timings} == {("commit", x, False) for x in ("cascade", "fold", "references", "write")}
+    assert b.attach("me") == "used_remote" and b.transfer_diagnostics()["snapshot_sessions"] == 1
+    b.start(least=1.0, fallback=20.0)
+    try:
+        with pytest.raises(SyncError, match="already_started"):
+            b.start()
+        a.write([post("p3", "u1")])
+        a.push_pending()
+        until = time.monotonic() + 60
+        while b.store.latest().info["me"]["last_seen"] < 2 and time.monotonic() < until:
+            time.sleep(0.1)
+        assert b.get("posts", "p3") == {"author_id": "u1", "id": "p3", "title": "t"}
+        b.write([post("p4", "u1")])
+        while service.status("me")["latest_bundle_seq"] < 3 and time.monotonic() < until:
+            time.sleep(0.1)
+    finally:
+        b.stop()
+    a.sync()
+    assert seen(a) == seen(b) and a.get("posts", "p4")
+
+
+def test_waits_of_loops():
+    outcomes = iter([OSError(), OSError(), SyncError("not_attached"), True, False, OSError()])
+
+    def step():
+        x = next(outcomes)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    loop = loops.Loop(step, threading.Event(), 1.0, 3.0)
+    assert [loop.turn() for _ in range(6)] == [1.0, 2.0, 1.0, 0.0, 1.0, 1.0] and isinstance(loop.error, OSError)
+    loop.paused.set()
+    assert loop.turn() == loop.pause == 2.0 and loop.turns == 6
+    assert loops.next_wait(OSError(), 50) == 60 and loops.next_wait(OSError(), 0.1) == 1
+
+
+def test_listener_reconnects_and_catches_up():
+    hub, stop, waited = loops.Hub(), threading.Event(), []
+    one, other = hub.join("s", 4), hub.join("t")
+    streams = iter([OSError(), OSError(), [("s", 6), ("s", 5), ("u", 9)], OSError(), [("t", 2)]])
+    newest = {"s": 5, "t": 0}
+
+    def connect():
+        try:
+            x = next(streams)
+        except StopIteration:
+            stop.set()
+            return []
+        if isinstance(x, Exception):
+            newest["t"] = 1
+            raise x
+        return x
+
+    def waits():
+        for x in (0.01, 0.02, 0.04):
+            waited.append(x)
+            yield x
+
+    assert loops.listen(connect, hub, newest.get, stop, waits) == 3
+    assert waited == [0.01, 0.02, 0.01, 0.02, 0.01, 0.02][: len(waited)] and one.wait(0) == 6 and one.wait(0) is None
+    assert other.wait(0) == 2 and hub.scopes() == ["s", "t"]
+    one.close(), other.close()
+    assert hub.scopes() == [] and one.wait() is None
