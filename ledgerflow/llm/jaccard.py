@@ -23,8 +23,11 @@ round each node meets its neighbour in a list under some of ORDERS random
 orders; then the links so far are turned into components. The second round takes
 every pair of every list whose nodes are in different components and which
 passes the filters. It leaves out no link between components. Lists are dealt
-out in pieces of at most PIECE nodes, pairs of pieces apart, so no task holds a
-whole list.
+out in pieces of at most PIECE nodes of about the same size, pairs of pieces
+apart, so no task holds a whole list. Pieces whose sizes are too far apart don't
+meet, nor do pieces in which all nodes are in one and the same component. The
+rows of shingles that the sketch finds far more often than others are numbered
+in several lots, by a hash of the node.
 
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing. A text of one to four words has one shingle, the whole
@@ -56,6 +59,8 @@ ORDERS = 16
 #: Bytes of text that are turned into shingles at once.
 SLICE = 1 << 20
 PIECE = 256
+#: Whole logarithm of the count from which on a shingle's rows are numbered in lots, where it is CROWD more than usual.
+HOT, CROWD = 16, 4
 #: Nodes that are asked for are told apart by so many residues before their sets are dealt out: a bound for what is broadcast.
 RESIDUES = 1 << 20
 
@@ -225,39 +230,55 @@ class Ground:
         return asked(found, wanted).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node: those whose token has several nodes, with the number of the list's piece."""
-    names = ["token", "node", "place", "piece"]
-    held = np.zeros((3, 0), np.int64)  # the last row, until the next token is known
-    held_shared, index = False, 0  # whether it is in its list already, and its number in the list
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])], axis=1)
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        rows = rows[:, new]
-        n = rows.shape[1]
-        start = np.ones(n, bool)
-        start[1:] = rows[0, 1:] != rows[0, :-1]
-        begin = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        number = np.arange(n) - begin + np.where(begin == 0, index, 0)
-        shared = ~start
-        shared[0] = held_shared
-        shared[:-1] |= ~start[1:]
-        out = np.flatnonzero(shared[:-1])
-        if len(out):
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[k, out]) for k in range(3)), pa.array(number[out] // PIECE)], names=names)
-        held, held_shared, index = rows[:, -1:], bool(shared[-1]), int(number[-1])
-    if held.shape[1] and held_shared:
-        yield pa.RecordBatch.from_arrays([*(pa.array(held[k]) for k in range(3)), pa.array([index // PIECE], pa.int64())], names=names)
+def _lots(classes: np.ndarray) -> Column:
+    """In how many lots the rows of a token are numbered."""
+    usual = int(np.median(classes[classes > 0])) if classes.any() else 0
+    over = f"CAST(shiftrightunsigned(token, {LOW}) AS INT) - {max(usual + CROWD, HOT) - 1}"
+    return F.expr(f"shiftleft(1L, greatest(0, {over}))")
+
+
+def _numbered(size: int):
+    """Of rows sorted by token, lot, place and node: those whose token has several nodes or lots, with the number of the list's piece of `size` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "node", "place", "piece"]
+        held = np.zeros((5, 0), np.int64)  # the last row, until the next token is known
+        held_shared, index = False, 0  # whether it is in its list already, and its number in the list
+
+        def piece(rows: np.ndarray, number: np.ndarray) -> pa.Array:
+            return pa.array(number // size * rows[4] + rows[3])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            rows = rows[:, new]
+            n = rows.shape[1]
+            start = np.ones(n, bool)
+            start[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[3, 1:] != rows[3, :-1])
+            begin = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+            number = np.arange(n) - begin + np.where(begin == 0, index, 0)
+            # a list in lots may have its other nodes elsewhere
+            shared = ~start | (rows[4] > 1)
+            shared[0] |= held_shared
+            shared[:-1] |= ~start[1:]
+            out = np.flatnonzero(shared[:-1])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([*(pa.array(rows[k, out]) for k in range(3)), piece(rows[:, out], number[out])], names=names)
+            held, held_shared, index = rows[:, -1:], bool(shared[-1]), int(number[-1])
+        if held.shape[1] and held_shared:
+            yield pa.RecordBatch.from_arrays([*(pa.array(held[k]) for k in range(3)), piece(held, np.array([index]))], names=names)
+
+    return run
 
 
 class Join:
     """The join of one collection, for a similarity of `percent` / 100."""
 
     def __init__(self, percent: int):
-        self.percent, self.whole = percent, 100 + percent
+        self.percent, self.whole, self.margin = percent, 100 + percent, MARGIN
 
     def common(self, total):
         """The least intersection of two sets of `total` elements together."""
@@ -287,17 +308,33 @@ class Join:
         """All pairs of lists that are in different components and pass the filters; written."""
         with Scratch(lists.sparkSession) as held:
             known = held.cut(lists.join(labels, lists.node == labels.u, "left").select("token", "node", "place", "piece", F.coalesce("v", "node").alias("label")), "jaccard-known")
-            # in a list of two the pair has been met
-            open_ = held.cut(known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.max("piece").alias("last")).filter("many > 2 AND a < b").select("token", "last"), "jaccard-open")
+            tokens = known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("piece").alias("first"), F.max("piece").alias("last"))
+            # in a list of two the pair has been met, if they were in one piece
+            open_ = held.cut(tokens.filter("(many > 2 OR first < last) AND a < b").select("token"), "jaccard-open")
             left = held.cut(known.join(open_, "token"), "jaccard-left")
+            held.drop(known)
+            meets = held.cut(self.meetings(left), "jaccard-meets")
+            left = left.join(meets, ["token", "piece"])
             bins = nodes.filter("bins IS NOT NULL").select("node", "bins")
             bins = held.cut(asked(bins, left.select("node")).groupBy("node").agg(F.first("bins").alias("bins")), "jaccard-bins")
             return cut(self.pairs_of(left, bins), "jaccard-second")
 
+    def meetings(self, left: DataFrame) -> DataFrame:
+        """Which pieces i <= j of a list meet, in a row for each of the two (token, piece, i, j).
+
+        Pieces whose nodes all have the label that most such pieces of the list
+        have need not meet each other, so pairs are only made with the others.
+        """
+        n = F.shiftright("place", 32)
+        pieces = left.groupBy("token", "piece").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.min("label").alias("a"), F.max("label").alias("b"))
+        most = pieces.filter("a = b").groupBy("token", "a").agg(F.count("*").alias("many")).groupBy("token").agg(F.max_by("a", F.struct("many", "a")).alias("most"))
+        mixed = pieces.join(most, "token", "left").filter("a < b OR NOT a <=> most").select("token", F.col("piece").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        near = (F.greatest("lo", "lo2") * self.percent <= F.least("hi", "hi2") * 100) & (F.least("a", "a2") < F.greatest("b", "b2"))
+        met = pieces.join(mixed, "token").filter(near).select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).distinct()
+        return met.select("token", F.explode(F.array_distinct(F.array("i", "j"))).alias("piece"), "i", "j")
+
     def pairs_of(self, left: DataFrame, bins: DataFrame) -> DataFrame:
-        # a piece meets itself and every other piece of its list
-        other = F.explode(F.sequence(F.lit(0).cast("long"), "last"))
-        dealt = left.join(bins, "node").withColumn("with", other).select("token", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "node", "place", "label", "bins")
+        dealt = left.join(bins, "node").select("token", "i", "j", "piece", "node", "place", "label", "bins")
         dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
         def pairs(rows: list[np.ndarray], bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +420,7 @@ class Join:
                 if common + min(n1 - len(one), n2 - len(two)) >= need:
                     u.append(x)
                     v.append(y)
-                    sure.append(bool(width == 8 or common >= need + MARGIN))
+                    sure.append(bool(width == 8 or common >= need + self.margin))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
 
     def _same_words(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,13 +460,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     join = Join(percent)
-    ground = Ground(source, cut(describe(source, count_classes(source), percent, 100), "jaccard-rows"))
+    classes = count_classes(source)
+    ground = Ground(source, cut(describe(source, classes, percent, 100), "jaccard-rows"))
     rows, members = ground.rows, ground.members
 
     with Scratch(spark) as held:
         place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
-        postings = ground.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", place.alias("place"))
-        lists = held.cut(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, place long, piece long"), "jaccard-lists")
+        postings = ground.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", place.alias("place"), _lots(classes).alias("lots"))
+        postings = postings.select("token", "node", "place", F.pmod(F.xxhash64("node"), "lots").alias("lot"), "lots")
+        lists = held.cut(postings.repartition("token", "lot").sortWithinPartitions("token", "lot", "place", "node").mapInArrow(_numbered(PIECE), "token long, node long, place long, piece long"), "jaccard-lists")
 
         met = held.cut(join.first_round(lists), "jaccard-first")
         edges = join.verified(met, ground, bound=True)

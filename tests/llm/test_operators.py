@@ -505,9 +505,10 @@ def edited(r, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("piece", [jaccard.PIECE, 3])
-def test_components(spark, odd, empty, monkeypatch, piece):
-    monkeypatch.setattr(jaccard, "PIECE", piece)
+@pytest.mark.parametrize("piece, hot, crowd", [(jaccard.PIECE, jaccard.HOT, jaccard.CROWD), (3, jaccard.HOT, jaccard.CROWD), (3, 4, 0), (1, 1, 0)])
+def test_components(spark, odd, empty, monkeypatch, piece, hot, crowd):
+    for name, value in (("PIECE", piece), ("HOT", hot), ("CROWD", crowd)):
+        monkeypatch.setattr(jaccard, name, value)
     r = random.Random(9)
     texts = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randint(1, 120))) for _ in range(40)]
     chain = texts[0]
@@ -522,6 +523,33 @@ def test_components(spark, odd, empty, monkeypatch, piece):
     assert sorted(repr(tuple(x)) for x in jaccard.near_duplicates(df).collect()) == plain_components(docs)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 5, 100])
+def test_lists_in_lots_and_pieces(batch):
+    """Whatever the batches: single nodes go, repeated rows too, a list in lots keeps all of its nodes."""
+    import pyarrow as pa
+
+    r = random.Random(batch)
+    rows = sorted((t, lot, place, 10 * t + place, 2 if t % 3 == 0 else 1) for t in range(12) for place in range(r.randint(1, 9)) for lot in [place % 2 if t % 3 == 0 else 0] for _ in range(r.randint(1, 3)))
+    given = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[k : k + batch]], pa.int64()) for c in (0, 3, 2, 1, 4)], names=["token", "node", "place", "lot", "lots"]) for k in range(0, len(rows), batch)]
+    got = [tuple(x.values()) for b in jaccard._numbered(2)(given) for x in b.to_pylist()]
+    want = []
+    for t in range(12):
+        mine = sorted({x[:4] for x in rows if x[0] == t})
+        lots = 2 if t % 3 == 0 else 1
+        for lot in range(lots):
+            own = [x for x in mine if x[1] == lot]
+            want += [(t, x[3], x[2], k // 2 * lots + lot) for k, x in enumerate(own)] if lots > 1 or len(own) > 1 else []
+    assert got == want
+
+
+def test_only_pieces_that_can_hold_links_meet(spark):
+    """A list of near copies in one component, with two nodes outside and one of another size, makes no pairs of all its pieces."""
+    rows = [(7, 100 + k, 50 << 32, k // 4, 1) for k in range(400)] + [(7, 1, 50 << 32, 100, 1), (7, 2, 50 << 32, 100, 2), (7, 3, 500 << 32, 101, 3)]
+    left = spark.createDataFrame(rows, "token long, node long, place long, piece long, label long")
+    met = {(x.i, x.j) for x in jaccard.Join(80).meetings(left).collect()}
+    assert met == {(k, 100) for k in range(101)}
+
+
 def test_names_that_fall_together(spark, odd):
     r = random.Random(3)
     docs = [*ODD, *((100 + k, " ".join(f"w{r.randrange(90)}" for _ in range(r.randint(1, 60)))) for k in range(60))]
