@@ -20,14 +20,18 @@ share a name, all are named anew.
 Only the components of the links are asked for, so pairs that are connected
 already are left out, and no group of near copies costs its square: in the first
 round each node meets its neighbour in a list under some of ORDERS random
-orders; then the links so far are turned into components. The second round takes
-every pair of every list whose nodes are in different components and which
-passes the filters. It leaves out no link between components. Lists are dealt
-out in pieces of at most PIECE nodes of about the same size, pairs of pieces
-apart, so no task holds a whole list. Pieces whose sizes are too far apart don't
-meet, nor do pieces in which all nodes are in one and the same component. The
-rows of shingles that the sketch finds far more often than others are numbered
-in several lots, by a hash of the node.
+orders. After every round the links so far are turned into components, and later
+rounds take pairs of lists whose nodes are in different components and which
+pass the filters: first only the likeliest pairs that join the nodes of a piece
+and the next one (a maximum spanning forest, by the bound of the suffix filter),
+then those of all pieces that meet, as long as many of them are links, then WIDER
+such forests, then every pair that is left. Where links are many, the forests
+find enough of them to make one component, so that the last rounds are left with
+pairs that are no links. They leave out no link between components. Lists are dealt out in pieces of at most PIECE nodes of
+about the same size, pairs of pieces apart, so no task holds a whole list. Pieces
+whose sizes are too far apart don't meet, nor do pieces in which all nodes are in
+one and the same component. The rows of shingles that the sketch finds far more
+often than others are numbered in several lots, by a hash of the node.
 
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing. A text of one to four words has one shingle, the whole
@@ -59,6 +63,10 @@ ORDERS = 16
 #: Bytes of text that are turned into shingles at once.
 SLICE = 1 << 20
 PIECE = 256
+#: Forests of pairs that nodes of different components try before all pairs are taken.
+WIDER = 16
+#: If one in so many pairs that were tried is a link, single forests go on.
+FRUITFUL = 4
 #: Whole logarithm of the count from which on a shingle's rows are numbered in lots, where it is CROWD more than usual.
 HOT, CROWD = 16, 4
 #: Nodes that are asked for are told apart by so many residues before their sets are dealt out: a bound for what is broadcast.
@@ -274,6 +282,36 @@ def _numbered(size: int):
     return run
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int, forests: int) -> np.ndarray:
+    """Which of the edges (a, b) of n nodes, best first, are in one of so many spanning forests, each of the best edges that are in none before."""
+    taken = np.zeros(len(a), bool)
+    for _ in range(forests):
+        live, root = np.flatnonzero(~taken), np.arange(n)
+        if not len(live):
+            break
+        while True:
+            x, y = root[a[live]], root[b[live]]
+            apart = x != y
+            live, x, y = live[apart], x[apart], y[apart]
+            if not len(live):
+                break
+            # each tree takes its best edge and hangs itself on the tree at the other end
+            best = np.full(n, len(live))
+            np.minimum.at(best, x, np.arange(len(live)))
+            np.minimum.at(best, y, np.arange(len(live)))
+            trees = np.flatnonzero(best < len(live))
+            edge = best[trees]
+            taken[live[edge]] = True
+            up = np.arange(n)
+            up[trees] = x[edge] + y[edge] - trees
+            # two trees that have taken the same edge: the lesser one stays
+            up = np.where((up[up] == np.arange(n)) & (up > np.arange(n)), np.arange(n), up)
+            while (up[up] != up).any():
+                up = up[up]
+            root = up[root]
+    return taken
+
+
 class Join:
     """The join of one collection, for a similarity of `percent` / 100."""
 
@@ -304,23 +342,52 @@ class Join:
         ok = (F.col("n2") * self.percent <= F.col("n") * 100) & (F.col("p") <= F.col("n") - least(twice)) & (F.col("n") - F.col("p") >= least(total)) & (F.col("n2") - F.col("p2") >= least(total))
         return met.filter(ok).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    def second_round(self, lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of lists that are in different components and pass the filters; written."""
-        with Scratch(lists.sparkSession) as held:
-            known = held.cut(lists.join(labels, lists.node == labels.u, "left").select("token", "node", "place", "piece", F.coalesce("v", "node").alias("label")), "jaccard-known")
-            tokens = known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("piece").alias("first"), F.max("piece").alias("last"))
-            # in a list of two the pair has been met, if they were in one piece
-            open_ = held.cut(tokens.filter("(many > 2 OR first < last) AND a < b").select("token"), "jaccard-open")
-            left = held.cut(known.join(open_, "token"), "jaccard-left")
-            held.drop(known)
-            meets = held.cut(self.meetings(left), "jaccard-meets")
-            left = left.join(meets, ["token", "piece"])
-            bins = nodes.filter("bins IS NOT NULL").select("node", "bins")
+    def later_rounds(self, lists: DataFrame, ground: Ground, labels: DataFrame) -> DataFrame:
+        """The components once all links between those of labels are known; lists and labels are dropped."""
+        spark = lists.sparkSession
+        with Scratch(spark) as held:
+            left = held.cut(self.unsettled(lists, labels), "jaccard-left")
+            drop(spark, lists)
+            bins = ground.nodes.filter("bins IS NOT NULL").select("node", "bins")
             bins = held.cut(asked(bins, left.select("node")).groupBy("node").agg(F.first("bins").alias("bins")), "jaccard-bins")
-            return cut(self.pairs_of(left, bins), "jaccard-second")
-
-    def meetings(self, left: DataFrame) -> DataFrame:
-        """Which pieces i <= j of a list meet, in a row for each of the two (token, piece, i, j).
+            tried, close, forests = None, True, 1
+            while True:
+                meets = held.cut(self.meetings(left, close), "jaccard-meets")
+                found = held.cut(self.pairs_of(left.join(meets, ["token", "piece"]), bins, forests), "jaccard-found")
+                held.drop(meets)
+                pairs = found.select("x", "y").distinct()
+                pairs = held.cut(pairs.join(tried, ["x", "y"], "left_anti") if tried else pairs, "jaccard-second")
+                tries, links = pairs.count(), 0
+                if tries:
+                    more = self.verified(pairs, ground, bound=False)
+                    links = more.count()
+                    if links:
+                        before, labels = labels, components(labels.union(more))
+                        drop(spark, before)
+                    drop(spark, more)
+                # pairs that wait, or pieces that have not met yet
+                waiting = found.filter("more").select("token")
+                if close:
+                    waiting = waiting.union(left.groupBy("token").agg((F.max("piece") - F.min("piece")).alias("far")).filter("far > 1").select("token"))
+                if forests is None or waiting.isEmpty():
+                    return labels
+                before, left = left, held.cut(self.unsettled(left.join(waiting.distinct(), "token", "left_semi"), labels), "jaccard-left")
+                tried = held.cut(tried.union(pairs), "jaccard-tried") if tried else pairs
+                held.drop(before, found)
+                # while many pairs are links, those of a forest more leave fewer to try
+                if not links or FRUITFUL * links < tries:
+                    forests = WIDER if forests == 1 else None
+                close = False
+
+    def unsettled(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of lists that have nodes of several components, with these as label."""
+        known = lists.join(labels, lists.node == labels.u, "left").select("token", "node", "place", "piece", F.coalesce("v", "node").alias("label"))
+        tokens = known.groupBy("token").agg(F.count("*").alias("many"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("piece").alias("first"), F.max("piece").alias("last"))
+        # in a list of two the pair has been met, if they were in one piece
+        return known.join(tokens.filter("(many > 2 OR first < last) AND a < b").select("token"), "token")
+
+    def meetings(self, left: DataFrame, close: bool = False) -> DataFrame:
+        """Which pieces i <= j of a list meet, in a row for each of the two (token, piece, i, j); `close`: only pieces that follow each other.
 
         Pieces whose nodes all have the label that most such pieces of the list
         have need not meet each other, so pairs are only made with the others.
@@ -330,15 +397,18 @@ class Join:
         most = pieces.filter("a = b").groupBy("token", "a").agg(F.count("*").alias("many")).groupBy("token").agg(F.max_by("a", F.struct("many", "a")).alias("most"))
         mixed = pieces.join(most, "token", "left").filter("a < b OR NOT a <=> most").select("token", F.col("piece").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
         near = (F.greatest("lo", "lo2") * self.percent <= F.least("hi", "hi2") * 100) & (F.least("a", "a2") < F.greatest("b", "b2"))
-        met = pieces.join(mixed, "token").filter(near).select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).distinct()
+        if close:
+            mixed = mixed.withColumn("piece", F.explode(F.array(*(F.col("other") + k for k in (-1, 0, 1)))))
+        met = pieces.join(mixed, ["token", "piece"] if close else "token").filter(near).select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).distinct()
         return met.select("token", F.explode(F.array_distinct(F.array("i", "j"))).alias("piece"), "i", "j")
 
-    def pairs_of(self, left: DataFrame, bins: DataFrame) -> DataFrame:
+    def pairs_of(self, left: DataFrame, bins: DataFrame, forests: int | None = None) -> DataFrame:
+        """Pairs (x, y) of a token that pass the filters, or so many forests of them; more: whether others of their list wait."""
         dealt = left.join(bins, "node").select("token", "i", "j", "piece", "node", "place", "label", "bins")
         dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
-        def pairs(rows: list[np.ndarray], bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            _, i, j, piece, node, place, label = rows
+        def pairs(rows: list[np.ndarray], bins: np.ndarray) -> tuple[np.ndarray, ...]:
+            token, i, j, piece, node, place, label = rows
             a, b = np.triu_indices(len(node), 1)
             keep = label[a] != label[b]
             if i[0] != j[0]:
@@ -349,9 +419,16 @@ class Join:
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             keep = self.fits(n[a], p[a], n[b], p[b])
             a, b = a[keep], b[keep]
-            keep = np.concatenate([self.bounded(bins[a[k : k + 20000]], bins[b[k : k + 20000]], n[a[k : k + 20000]] + n[b[k : k + 20000]]) for k in range(0, len(a), 20000)] or [np.zeros(0, bool)])
-            x, y = node[a[keep]], node[b[keep]]
-            return np.minimum(x, y), np.maximum(x, y)
+            total = n[a] + n[b]
+            most = np.concatenate([self.most(bins[a[k : k + 20000]], bins[b[k : k + 20000]], total[k : k + 20000]) for k in range(0, len(a), 20000)] or [np.zeros(0, np.int64)])
+            keep = most >= self.common(total)
+            a, b, total, most = a[keep], b[keep], total[keep], most[keep]
+            x, y = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            taken = np.ones(len(a), bool)
+            if forests is not None:
+                order = np.lexsort((y, x, -most / total))
+                taken[order] = spanning(a[order], b[order], len(node), forests)
+            return np.full(taken.sum(), token[0]), x[taken], y[taken], np.full(taken.sum(), not taken.all())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: pa.Table | None = None
@@ -375,14 +452,14 @@ class Join:
             bins = np.frombuffer(b"".join(table.column(7).slice(0, ends[-1]).to_pylist()), np.uint8).reshape(-1, BINS)
             found = [pairs([r[a:b] for r in rows], bins[a:b]) for a, b in zip(ends[:-1], ends[1:]) if b - a > 1]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(4)], names=["token", "x", "y", "more"])
 
-        return dealt.mapInArrow(run, "x long, y long").distinct()
+        return dealt.mapInArrow(run, "token long, x long, y long, more boolean")
 
-    def bounded(self, bins1: np.ndarray, bins2: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Suffix filter: whether the sets, by their counts, can have enough in common."""
+    def most(self, bins1: np.ndarray, bins2: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Suffix filter: how much the sets, by their counts, can have in common at most."""
         full = (bins1 == 255).any(axis=1) | (bins2 == 255).any(axis=1)
-        return full | (np.minimum(bins1, bins2).sum(axis=1, dtype=np.int64) >= self.common(total))
+        return np.where(full, total, np.minimum(bins1, bins2).sum(axis=1, dtype=np.int64))
 
     def verified(self, pairs: DataFrame, ground: Ground, bound: bool) -> DataFrame:
         """The pairs (x, y) of nodes that are similar, as edges (u, v); written."""
@@ -405,7 +482,7 @@ class Join:
         for batch in batches:
             x, y, n1, n2 = (batch.column(k).to_numpy() for k in range(4))
             bins = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (4, 5)]
-            keep = self.bounded(*bins, n1 + n2)
+            keep = self.most(*bins, n1 + n2) >= self.common(n1 + n2)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["x", "y"])
 
     def _similar(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,12 +551,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         edges = join.verified(met, ground, bound=True)
         held.drop(met)
         labels = components(edges)
-        met = join.second_round(lists, ground.nodes, labels)
-        held.drop(lists, labels)
-        more = join.verified(met, ground, bound=False)
-        held.drop(met)
-        labels = components(edges.union(more))
-        held.drop(edges, more)
+        held.drop(edges)
+        labels = join.later_rounds(lists, ground, labels)
 
     with Scratch(spark) as held:
         # nodes that no link leads to are components by themselves

@@ -550,6 +550,48 @@ def test_only_pieces_that_can_hold_links_meet(spark):
     assert met == {(k, 100) for k in range(101)}
 
 
+def near_copies(r, n, words=200):
+    """Copies of one text, most with so many words changed that they link with the least changed ones only."""
+    base = " ".join(f"b{k}" for k in range(words))
+    return [edited(r, base, r.choice([0, 1, 2, 3, 4, 4, 4])) for _ in range(n)]
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """Nodes that the first round has not linked try their likeliest partners, not all of the group."""
+    docs = [(k, t) for k, t in enumerate(near_copies(random.Random(21), 600))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tried, verified = [], jaccard.Join.verified
+
+    def counted(self, pairs, ground, bound):
+        tried.append(pairs.count())
+        return verified(self, pairs, ground, bound)
+
+    monkeypatch.setattr(jaccard.Join, "verified", counted)
+    assert sorted(repr(tuple(x)) for x in jaccard.near_duplicates(df).collect()) == plain_components(docs)
+    assert sum(tried[1:]) < 4 * len(docs)
+
+
+@pytest.mark.parametrize("forests", [1, 2, 3, 100])
+def test_spanning_forests(forests):
+    import numpy as np
+
+    r = random.Random(forests)
+    for _ in range(20):
+        n = r.randint(2, 12)
+        edges = r.sample([(a, b) for a in range(n) for b in range(a)], r.randint(1, n * (n - 1) // 2))
+        left, want = list(range(len(edges))), set()
+        for _ in range(forests):
+            group = list(range(n))
+            for k in list(left):
+                a, b = (group[x] for x in edges[k])
+                if a != b:
+                    group = [a if g == b else g for g in group]
+                    want.add(k)
+                    left.remove(k)
+        got = jaccard.spanning(*np.array(edges).T, n, forests)
+        assert set(np.flatnonzero(got).tolist()) == want
+
+
 def test_names_that_fall_together(spark, odd):
     r = random.Random(3)
     docs = [*ODD, *((100 + k, " ".join(f"w{r.randrange(90)}" for _ in range(r.randint(1, 60)))) for k in range(60))]
@@ -597,6 +639,22 @@ def test_filters_agree_with_definition():
             assert all((100 * k >= 80 * (n1 + n2 - k)) == (k >= least) for k in range(n1 + 1))
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_any_number_of_edges(spark, monkeypatch, few):
+    from ledgerflow.llm import components as cc
+
+    monkeypatch.setattr(cc, "FEW", few)
+    r = random.Random(few)
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(80)] + [(k, k + 1) for k in range(1000, 1060)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(len(least)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = cc.components(spark.createDataFrame(edges, "u long, v long"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted((k, v) for k, v in least.items() if k != v)
+    assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_components_of_a_path(spark):
     from ledgerflow.llm.components import components
 
