@@ -571,6 +571,24 @@ def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
     assert sum(tried[1:]) < 4 * len(docs)
 
 
+def test_stage_keeps_one_of_many_near_copies(spark, monkeypatch):
+    """The stage of the pipeline tries few pairs of a group, too, and keeps the row that names it."""
+    import corpus_pipeline
+
+    docs = [(k, t, "en", "s", len(t)) for k, t in enumerate([*near_copies(random.Random(22), 500), "a b c d e f g"])]
+    tried, verified = [], jaccard.Join.verified
+
+    def counted(self, pairs, ground, bound):
+        tried.append(pairs.count())
+        return verified(self, pairs, ground, bound)
+
+    monkeypatch.setattr(jaccard.Join, "verified", counted)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    heads = [i for i, n, c in map(eval, plain_components([x[:2] for x in docs])) if i == c]
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(heads)
+    assert sum(tried[1:]) < 4 * len(docs)
+
+
 @pytest.mark.parametrize("forests", [1, 2, 3, 100])
 def test_spanning_forests(forests):
     import numpy as np
